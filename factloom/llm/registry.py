@@ -18,5 +18,25 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), digest=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pieces": op1_pieces}
+def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm import tokenfile as t
+
+    path = t.scratch_path(spark)
+    t.write_token_file(table(spark, sf_dir, "documents"), path)
+    return t.read_token_file(spark, path, ids=False)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pieces": op1_pieces, "op2_token_file": op2_token_file, "op3_packing": op3_packing, "op5_near_duplicates": op5_near_duplicates}
 ORACLES: dict[str, str] = {}
