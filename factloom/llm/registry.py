@@ -38,5 +38,11 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pieces": op1_pieces, "op2_token_file": op2_token_file, "op3_packing": op3_packing, "op5_near_duplicates": op5_near_duplicates}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.tokencount import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pieces": op1_pieces, "op2_token_file": op2_token_file, "op3_packing": op3_packing, "op5_near_duplicates": op5_near_duplicates, "op10_token_counts": op10_token_counts}
 ORACLES: dict[str, str] = {}
