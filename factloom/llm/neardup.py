@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
             pairs = freeze(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
             pairs = _plausible(pairs, classes, percent)
         else:
-            order = F.struct(F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc"), "doc", "n", "comp")
+            order = F.struct((F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")).alias("place"), "doc", "n", "comp")
             lead = state.groupBy("band", "name").agg(F.min(order).alias("lead")).select("band", "name", F.col("lead.doc").alias("b"), F.col("lead.n").alias("nb"), F.col("lead.comp").alias("cb"))
             pairs = state.select("band", "name", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")).join(lead, ["band", "name"]).where("ca <> cb").where(near)
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
