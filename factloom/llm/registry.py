@@ -44,5 +44,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pieces": op1_pieces, "op2_token_file": op2_token_file, "op3_packing": op3_packing, "op5_near_duplicates": op5_near_duplicates, "op10_token_counts": op10_token_counts}
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.secrets import digest, scan_secrets
+
+    return digest(scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.quality import judge, train_field
+
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, train_field(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pieces": op1_pieces, "op2_token_file": op2_token_file, "op3_packing": op3_packing, "op5_near_duplicates": op5_near_duplicates, "op7_secrets": op7_secrets, "op8_quality": op8_quality, "op10_token_counts": op10_token_counts}
 ORACLES: dict[str, str] = {}
