@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from factloom.llm.exactdup import ORACLE as _EXACT
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.pii import digest, personal_data
+
+    return digest(personal_data(table(spark, sf_dir, "documents")))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.neardup import near_duplicates
 
@@ -44,6 +51,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.exactdup import exact_duplicates
+
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.secrets import digest, scan_secrets
 
@@ -57,5 +70,5 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, train_field(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pieces": op1_pieces, "op2_token_file": op2_token_file, "op3_packing": op3_packing, "op5_near_duplicates": op5_near_duplicates, "op7_secrets": op7_secrets, "op8_quality": op8_quality, "op10_token_counts": op10_token_counts}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pieces": op1_pieces, "op2_token_file": op2_token_file, "op3_packing": op3_packing, "op4_pii": op4_pii, "op5_near_duplicates": op5_near_duplicates, "op6_exact_duplicates": op6_exact_duplicates, "op7_secrets": op7_secrets, "op8_quality": op8_quality, "op10_token_counts": op10_token_counts}
+ORACLES: dict[str, str] = {"op6_exact_duplicates": _EXACT}
