@@ -45,6 +45,13 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.htmltree import extract, train_model
+
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, train_model(pages))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.tokencount import token_counts
 
@@ -70,5 +77,5 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, train_field(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pieces": op1_pieces, "op2_token_file": op2_token_file, "op3_packing": op3_packing, "op4_pii": op4_pii, "op5_near_duplicates": op5_near_duplicates, "op6_exact_duplicates": op6_exact_duplicates, "op7_secrets": op7_secrets, "op8_quality": op8_quality, "op10_token_counts": op10_token_counts}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pieces": op1_pieces, "op2_token_file": op2_token_file, "op3_packing": op3_packing, "op4_pii": op4_pii, "op5_near_duplicates": op5_near_duplicates, "op6_exact_duplicates": op6_exact_duplicates, "op7_secrets": op7_secrets, "op8_quality": op8_quality, "op9_html": op9_html, "op10_token_counts": op10_token_counts}
 ORACLES: dict[str, str] = {"op6_exact_duplicates": _EXACT}
