@@ -127,7 +127,8 @@ def back_edges(edges: DataFrame, group: str = "workspace") -> DataFrame:
                 else:
                     color[node] = 2
                     stack.pop()
-        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(found), "src": [a for a, _ in found], "dst": [b for _, b in found]})
+        columns = {group: [pdf[group].iloc[0]] * len(found), "src": [a for a, _ in found], "dst": [b for _, b in found]}
+        return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in columns.items()})
 
     kind = edges.schema["src"].dataType.simpleString()
     return edges.groupBy(group).applyInPandas(walk, f"{group} {edges.schema[group].dataType.simpleString()}, src {kind}, dst {kind}")
@@ -179,6 +180,7 @@ def ownership_forest(edges: DataFrame, nodes: DataFrame | None = None, group: st
                 rows.append((depth, node, note))
                 stack += [(c, depth + 1, node) for c in sorted(out.get(node, ()), reverse=True)]
         rows += [(0, r, "leaf root") for r in sorted(x for x, n in size.items() if not n)]
-        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(rows), "seq": range(len(rows)), "depth": [r[0] for r in rows], "node": [r[1] for r in rows], "note": [r[2] for r in rows]})
+        columns = {group: [pdf[group].iloc[0]] * len(rows), "seq": range(len(rows)), "depth": [r[0] for r in rows], "node": [r[1] for r in rows], "note": [r[2] for r in rows]}
+        return pd.DataFrame({k: pd.Series(list(v), dtype=object) for k, v in columns.items()})
 
     return rows.groupBy(group).applyInPandas(walk, f"{group} {edges.schema[group].dataType.simpleString()}, seq long, depth int, node {kind}, note string")
