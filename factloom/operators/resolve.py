@@ -30,8 +30,8 @@ def resolve_reexports(exports: DataFrame, types: DataFrame, functions: DataFrame
     suffix of modules in common with the hint, else with the module itself, else the smallest path."""
     e = exports.withColumn("_h", F.filter(P.segments("hint"), lambda s: ~s.isin("crate", "self", "super", "Self")))
     e = e.withColumn("_leaf", F.element_at("_h", -1))
-    t = types.select("name", F.col("full_path").alias("path"), F.col("kind").alias("target_kind"), "ord", F.lit(0).alias("tier"))
-    f = functions.select("name", "path", F.lit("function").alias("target_kind"), "ord", F.lit(1).alias("tier"))
+    t = types.select("name", F.col("full_path").alias("path"), F.col("kind").alias("target_kind"), F.col("ord").alias("_ord"), F.lit(0).alias("tier"))
+    f = functions.select("name", "path", F.lit("function").alias("target_kind"), F.col("ord").alias("_ord"), F.lit(1).alias("tier"))
     c = e.join(t.unionByName(f).withColumnRenamed("name", "_n"), F.col("_leaf") == F.col("_n"))
     own = Window.partitionBy("export_id")
     c = c.withColumn("_first", F.min("tier").over(own)).where("tier = _first")
@@ -43,7 +43,7 @@ def resolve_reexports(exports: DataFrame, types: DataFrame, functions: DataFrame
     c = c.withColumn("s1", s1).withColumn("s2", s2).withColumn("m1", F.max("s1").over(own)).withColumn("m2", F.max("s2").over(own)).withColumn("n", F.count("*").over(own))
     pool = F.when(F.col("n") == 1, True).when(F.col("m1") > 0, F.col("s1") == F.col("m1")).when(F.col("m2") > 0, F.col("s2") == F.col("m2")).otherwise(True)
     by_order = (F.col("m1") > 0) | (F.col("m2") > 0)
-    pick = Window.partitionBy("export_id").orderBy(F.when(by_order, F.col("ord")).asc_nulls_last(), "path")
+    pick = Window.partitionBy("export_id").orderBy(F.when(by_order, F.col("_ord")).asc_nulls_last(), "path")
     return c.where(pool).withColumn("rn", F.row_number().over(pick)).where("rn = 1").select(*exports.columns, F.col("path").alias("target"), "target_kind")
 
 
