@@ -65,7 +65,7 @@ def op6_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from factloom.llm.secrets import digest, scan_secrets
+    from factloom.llm.secretscan import digest, scan_secrets
 
     return digest(scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
 
