@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import exactdup, neardup, packing, quality, secrets
+from factloom.llm import exactdup, neardup, packing, quality, secretscan
 from factloom.session import freeze
 
 #: A quality verdict, similarity links and packings are beyond SQL; tests hold the run against brute force.
@@ -36,7 +36,7 @@ def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are cut out of the texts; all documents stay, with their new length."""
-    cut = secrets.redact_secrets(docs)
+    cut = secretscan.redact_secrets(docs)
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 
