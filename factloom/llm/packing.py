@@ -18,7 +18,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,20 +120,21 @@ def pack_pieces(pieces: DataFrame, key: str = "doc_id", tokens: int = 4096, docu
     Frozen pieces are expected: they are counted first, which sets the number of groups."""
     ship(pieces.sparkSession)
     groups = max(1, -(-pieces.count() // group))
-    names = pieces.columns
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        rows = list(frames)
+        rows = list(batches)
         if not rows:
             return
-        df = pd.concat(rows, ignore_index=True).sort_values(["length", key, "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        seq, offset = best_fit(df["length"].to_numpy(np.int64), tokens, documents, attention, score=score)
-        yield df.assign(sequence_id=seq + (TaskContext.get().partitionId() << 40), offset=offset)[[*names, "sequence_id", "offset"]]
+        # one order whatever way the rows came in, so that a repeated task packs alike
+        t = pa.Table.from_batches(rows).sort_by([("length", "descending"), (key, "ascending"), ("piece", "ascending"), ("start", "ascending")])
+        seq, offset = best_fit(t.column("length").to_numpy().astype(np.int64), tokens, documents, attention, score=score)
+        t = t.append_column("sequence_id", pa.array(seq + (TaskContext.get().partitionId() << 40))).append_column("offset", pa.array(offset))
+        yield from t.combine_chunks().to_batches()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return pieces.repartition(groups, F.xxhash64(key, "piece", "start")).mapInPandas(run, schema)
+    return pieces.repartition(groups, F.xxhash64(key, "piece", "start")).mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tokens: int = 4096, **more) -> DataFrame:
