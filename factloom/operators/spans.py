@@ -50,7 +50,7 @@ def resolve_lines(probes: DataFrame, spans: DataFrame, calls: DataFrame | None =
     # one minimum per probe, pre-aggregated: candidates of a long file never meet in one place
     best = c.groupBy("probe").agg(F.min(F.struct("tier", "k1", "k2", "k3", "element_id")).alias("b"))
     how = F.element_at(F.array(*map(F.lit, ("callsite", "containing", "next", "previous", "module"))), F.col("b.tier") + 1)
-    return probes.join(best.withColumnRenamed("probe", "_p"), F.col("probe") == F.col("_p"), "left").select(*probes.columns, F.col("b.element_id").alias("element_id"), F.coalesce(how, F.lit("unknown")).alias("how"))
+    return probes.join(best.withColumnRenamed("probe", "_p"), F.col("probe") == F.col("_p"), "left").select(*probes.columns, F.col("b.element_id").alias("element_id"), F.when(F.col("b").isNull(), "unknown").otherwise(how).alias("how"))
 
 
 def tour_errors(steps: DataFrame, directed: DataFrame) -> DataFrame:
