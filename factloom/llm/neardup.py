@@ -6,10 +6,10 @@ signature values, its minimum and its maximum, so half as many hashes are comput
 buckets; texts that share a bucket are candidates, and a link is made only after counting both full sets.
 
 Texts with equal sets collapse into one class first. Inside a bucket, candidates are compared with one member
-in each of a few rounds, with another member each time, and only members whose components still differ go on.
-What is left, members outside the largest component of their bucket, is compared with every member of another
-component. So all candidate pairs either end in one component or are compared, without making all pairs of a
-group. The chance that a pair of similarity 0.85 shares no bucket is below 1e-6 with 24 bands of 5 values.
+in each round, with another member each time, and only members whose components still differ go on; the rounds
+end when one links few of the pairs it compares. What is left, members outside the largest component of their bucket, is compared with all
+candidates of other components that share a rare shingle early enough to reach the threshold, which loses no link.
+So candidate pairs end in one component, are compared, or cannot be similar, without making all pairs of a group. The chance that a pair of similarity 0.85 shares no bucket is below 1e-6 with 24 bands of 5 values.
 
 Null and empty texts have an empty set and link with nothing. Rows without a key link with nothing and have a
 null component. Rows that share a key are one node with several texts. Ties go to the smaller key. Columns of
@@ -30,6 +30,7 @@ from factloom.llm.components import components
 from factloom.session import freeze, ship
 
 PERMUTATIONS, BANDS, ROWS = 60, 24, 5
+_SLOTS = 1 << 16
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -125,6 +126,44 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _sharing(texts: DataFrame, side: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components, ``a`` marked ``out``, that can still reach the threshold.
+
+    In one order of all shingles, rare ones first, two sets that are similar enough share an element that stands so
+    early in both that the rest of each still allows the overlap they need. That holds for any order. Rarity only
+    keeps the lists of common elements apart; it comes from a table of ``_SLOTS`` counters, whatever the input."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_SLOTS, np.int64)
+        for b in batches:
+            for t in b.column(0):
+                total += np.bincount((shingles(t.as_py(), words) % np.uint64(_SLOTS)).astype(np.int64), minlength=_SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    seen = np.zeros(_SLOTS, np.int64)
+    for r in texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # _SLOTS rows at most
+        seen[r.slot] = r.n
+
+    def early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, first = [], []
+            for t in b.column(1):
+                s = shingles(t.as_py(), words)
+                s = s[np.lexsort((s, seen[(s % np.uint64(_SLOTS)).astype(np.int64)]))]
+                n.append(len(s))
+                first.append(s[: len(s) + percent * len(s) // -100 + 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["doc", "n", "first"])
+
+    kind = texts.schema["doc"].dataType.simpleString()
+    rows = texts.mapInArrow(early, f"doc {kind}, n long, first array<long>").join(side.withColumnRenamed("doc", "d"), F.col("doc") == F.col("d"))
+    rows = freeze(rows.select("doc", "n", "comp", "out", "first"), "early")
+    a = rows.where("out").select(F.posexplode("first").alias("pa", "s"), F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    b = rows.select(F.posexplode("first").alias("pb", "s2"), F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    fits = F.expr(f"ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * least(na - pa, nb - pb) >= {percent} * (na + nb)")
+    return a.join(b, (F.col("s") == F.col("s2")) & fits).select("a", "b")
+
+
 def _plausible(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """Pairs whose signatures agree up to six standard deviations below the threshold."""
     j = percent / 100
@@ -146,45 +185,53 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     ship(spark)
     rows = freeze(sketch(docs, key, text, words), "sketch")
     least = rows.where("ident is not null and doc is not null").groupBy("ident").agg(F.min("doc").alias("rep"))
-    member = freeze(rows.select("doc", "n", "ident", F.col("ident").alias("own")).join(least.withColumnRenamed("ident", "of"), F.col("own") == F.col("of"), "left").select("doc", "n", "rep"), "classes")
-    reps = member.where("doc = rep").select(F.col("doc").alias("r")).distinct()
-    classes = rows.where("ident is not null").join(reps, F.col("doc") == F.col("r"), "left_semi")
+    least = freeze(least, "classes").withColumnRenamed("ident", "of")
+    own = F.col("doc") == F.col("rep")
+    member = rows.join(least, F.col("ident") == F.col("of"), "left").select("doc", "n", "rep", F.when(own, F.col("bands")).alias("bands"), F.when(own, F.col("sig")).alias("sig"))
+    member = freeze(member, "members")
+    classes = member.where("doc = rep")
     named = classes.select("doc", "n", F.posexplode("bands").alias("band", "name"))
-    crowded = named.groupBy("band", "name").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("band", "name")
-    bucket = freeze(named.join(crowded, ["band", "name"], "left_semi"), "buckets")
-    wanted = bucket.select(F.col("doc").alias("w")).distinct()
+    crowded = named.groupBy("band", "name").agg(F.min("doc").alias("lead"), F.max("doc").alias("hi"), F.min_by("n", "doc").alias("lead_n")).where("lead <> hi").select("band", "name", "lead", "lead_n")
+    crowded = freeze(crowded, "crowded")
+    state = freeze(named.join(crowded.select("band", "name"), ["band", "name"], "left_semi").withColumn("comp", F.col("doc")), "buckets")
+    wanted = freeze(state.select(F.col("doc").alias("w")).distinct(), "wanted")
     texts = freeze(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("text is not null").join(wanted, F.col("doc") == F.col("w"), "left_semi"), "texts")
     near = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    links, labels = None, None
+    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    links, labels, fruitful = None, None, True
     for turn in range(rounds + 1):
-        if labels is None:
-            state = bucket.withColumn("comp", F.col("doc"))
-        else:
-            named_as = labels.select(F.col("node"), F.col("label"))
-            state = bucket.join(named_as, F.col("doc") == F.col("node"), "left").select("band", "name", "doc", "n", F.coalesce("label", "doc").alias("comp"))
-        mixed = state.groupBy("band", "name").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "name")
-        state = freeze(state.join(mixed, ["band", "name"], "left_semi"), "mixed")
-        parts = state.groupBy("band", "name", "comp").agg(F.count("*").alias("size"))
-        largest = parts.groupBy("band", "name").agg(F.max(F.struct("size", "comp")).alias("top"), F.sum("size").alias("all"))
-        largest = freeze(largest.select("band", "name", F.col("top.comp").alias("main"), F.col("top.size").alias("main_size"), "all"), "parts")
-        left = largest.agg(F.sum((F.col("all") - F.col("main_size")) * F.col("all")), F.sum("all")).first()
-        if not left[1]:
-            break
-        last = turn == rounds or left[0] <= 8 * left[1]
-        if last:
-            side = state.join(largest.select("band", "name", "main"), ["band", "name"]).select("band", "name", "doc", "n", "comp", "main")
-            out = side.where("comp <> main").select("band", "name", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            every = side.select("band", "name", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), (F.col("comp") == F.col("main")).alias("inner"))
-            pairs = out.join(every, ["band", "name"]).where("ca <> cb and (inner or a < b)").where(near)
-            pairs = freeze(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-            pairs = _plausible(pairs, classes, percent)
+        if turn == 0:  # every bucket against its smallest member
+            lead = crowded.select("band", "name", F.col("lead").alias("b"), F.col("lead_n").alias("nb"))
+            pairs = state.select("band", "name", F.col("doc").alias("a"), F.col("n").alias("na")).join(lead, ["band", "name"]).where("a <> b").where(near).select(*ends).distinct()
+            last = False
         else:
-            order = F.struct((F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")).alias("place"), "doc", "n", "comp")
-            lead = state.groupBy("band", "name").agg(F.min(order).alias("lead")).select("band", "name", F.col("lead.doc").alias("b"), F.col("lead.n").alias("nb"), F.col("lead.comp").alias("cb"))
-            pairs = state.select("band", "name", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")).join(lead, ["band", "name"]).where("ca <> cb").where(near)
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            named_as = labels.select("node", "label")
+            state = state.drop("comp").join(named_as, F.col("doc") == F.col("node"), "left").select("band", "name", "doc", "n", F.coalesce("label", "doc").alias("comp"))
+            state = freeze(state, "state")
+            parts = state.groupBy("band", "name", "comp").agg(F.count("*").alias("size"))
+            order = F.struct(F.xxhash64("doc", F.lit(turn)).alias("place"), "doc", "n", "comp")
+            lead = state.groupBy("band", "name").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(order).alias("lead")).where("lo <> hi")
+            largest = parts.groupBy("band", "name").agg(F.max(F.struct("size", "comp")).alias("top"), F.sum("size").alias("all"))
+            mixed = lead.join(largest, ["band", "name"]).select("band", "name", F.col("top.comp").alias("main"), F.col("top.size").alias("main_size"), "all", F.col("lead.doc").alias("b"), F.col("lead.n").alias("nb"), F.col("lead.comp").alias("cb"))
+            mixed = freeze(mixed, "mixed")
+            left = mixed.agg(F.sum((F.col("all") - F.col("main_size")) * F.col("all")), F.sum("all")).first()
+            if not left[1]:
+                break
+            state = freeze(state.join(mixed.select("band", "name"), ["band", "name"], "left_semi"), "mixed_rows")
+            last = turn == rounds or not fruitful or left[0] <= 8 * left[1]
+            if last:
+                side = state.join(mixed.select("band", "name", "main"), ["band", "name"])
+                side = side.groupBy("doc").agg(F.min("comp").alias("comp"), F.max(F.col("comp") != F.col("main")).alias("out"))
+                pairs = _plausible(freeze(_sharing(texts, freeze(side, "side"), words, percent).select(*ends).distinct(), "pairs"), classes, percent)
+            else:  # against another member of another component
+                against = mixed.select("band", "name", "b", "nb", "cb")
+                pairs = state.select("band", "name", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")).join(against, ["band", "name"]).where("ca <> cb").where(near)
+                pairs = pairs.select(*ends).distinct()
+        if not last:
+            pairs = freeze(pairs, "pairs")
         found = freeze(_confirm(pairs, texts, words, percent), "confirmed")
-        links = found if links is None else freeze(links.union(found).distinct(), "all_links")
+        fruitful = last or turn == 0 or 20 * found.count() >= pairs.count()
+        links = found if links is None else links.union(found)
         labels = freeze(components(links), "labels")
         if last:
             break
