@@ -30,8 +30,9 @@ def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays. Rows without a doc_id stay."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_stay"))
-    return docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+    # the rows that go are few; written first, so that Spark knows their size before it picks the join
+    gone = freeze(neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "near_gone")
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
