@@ -47,7 +47,8 @@ def gr9(spark: SparkSession, d: str) -> DataFrame:
 
 @query("gr2_ownership_forest")
 def gr2(spark: SparkSession, d: str) -> DataFrame:
-    return G.ownership_forest(read(spark, d, "modgraph").withColumn("workspace", F.lit("w")))
+    brand = read(spark, d, "part").select(F.col("p_partkey").alias("src"), F.col("p_brand").alias("workspace"))
+    return G.ownership_forest(read(spark, d, "dag").join(brand, "src").select("workspace", "src", "dst"))
 
 
 @query("gr4_back_edges")
