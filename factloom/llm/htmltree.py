@@ -371,8 +371,10 @@ def train_model(pages: DataFrame | None = None, html_column: str = "html", sampl
         gold.append((page, np.array(page.mark)))
     if pages is not None:
         source = F.substring(html_column, 1, 200_000)
-        marked = pages.where(F.col(html_column).rlike("(?i)<article[\\s>]")).select(source.alias("h"))
-        rows = marked.orderBy(F.xxhash64(F.md5("h")), "h").limit(sample).collect()
+        marked = pages.where(F.col(html_column).rlike("(?i)<article[\\s>]")).select(source.alias("h")).withColumn("k", F.xxhash64("h"))
+        # names first, so that no task sends texts it does not have to; copies of a page are one page
+        names = [r.k for r in marked.select("k").distinct().orderBy("k").limit(sample).collect()]
+        rows = marked.where(F.col("k").isin(names)).groupBy("k").agg(F.min("h").alias("h")).orderBy("k").collect() if names else []
         for r in rows:
             page = parse(r.h)
             if page.tag.count("article") == 1:
