@@ -30,7 +30,7 @@ from factloom.llm.components import components
 from factloom.session import freeze, ship
 
 PERMUTATIONS, BANDS, ROWS = 60, 24, 5
-_SLOTS = 1 << 16
+_SLOTS = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,24 +133,35 @@ def _sharing(texts: DataFrame, side: DataFrame, words: int, percent: int) -> Dat
     early in both that the rest of each still allows the overlap they need. That holds for any order. Rarity only
     keeps the lists of common elements apart; it comes from a table of ``_SLOTS`` counters, whatever the input."""
 
+    slot_of = lambda s: (s % np.uint64(_SLOTS)).astype(np.int64)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_SLOTS, np.int64)
+        held: list[np.ndarray] = []
+        size = 0
         for b in batches:
             for t in b.column(0):
-                total += np.bincount((shingles(t.as_py(), words) % np.uint64(_SLOTS)).astype(np.int64), minlength=_SLOTS)
+                held.append(slot_of(shingles(t.as_py(), words)))
+                size += len(held[-1])
+                if size > _SLOTS:
+                    total += np.bincount(np.concatenate(held), minlength=_SLOTS)
+                    held.clear()
+                    size = 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=_SLOTS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
 
-    seen = np.zeros(_SLOTS, np.int64)
-    for r in texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # _SLOTS rows at most
-        seen[r.slot] = r.n
+    counted = texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # _SLOTS rows at most
+    seen = np.zeros(_SLOTS, np.uint32)
+    seen[counted.column("slot").to_numpy()] = counted.column("n").to_numpy().clip(max=0xFFFFFFFF)
 
     def early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, first = [], []
             for t in b.column(1):
                 s = shingles(t.as_py(), words)
-                s = s[np.lexsort((s, seen[(s % np.uint64(_SLOTS)).astype(np.int64)]))]
+                s = s[np.lexsort((s, seen[slot_of(s)]))]
                 n.append(len(s))
                 first.append(s[: len(s) + percent * len(s) // -100 + 1].view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["doc", "n", "first"])
@@ -158,9 +169,12 @@ def _sharing(texts: DataFrame, side: DataFrame, words: int, percent: int) -> Dat
     kind = texts.schema["doc"].dataType.simpleString()
     rows = texts.mapInArrow(early, f"doc {kind}, n long, first array<long>").join(side.withColumnRenamed("doc", "d"), F.col("doc") == F.col("d"))
     rows = freeze(rows.select("doc", "n", "comp", "out", "first"), "early")
-    a = rows.where("out").select(F.posexplode("first").alias("pa", "s"), F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    b = rows.select(F.posexplode("first").alias("pb", "s2"), F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    fits = F.expr(f"ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * least(na - pa, nb - pb) >= {percent} * (na + nb)")
+    before = F.concat(F.array(F.lit(None).cast("long")), F.slice("first", F.lit(1), F.greatest(F.size("first") - 1, F.lit(0))))
+    each = F.posexplode(F.arrays_zip(F.col("first").alias("s"), before.alias("r")))
+    a = rows.where("out").select("doc", "n", "comp", each.alias("p", "z")).select(F.col("z.s").alias("s"), F.col("z.r").alias("ra"), F.col("p").alias("pa"), F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    b = rows.select("doc", "n", "comp", "out", each.alias("p", "z")).select(F.col("z.s").alias("s2"), F.col("z.r").alias("rb"), F.col("p").alias("pb"), F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("out").alias("ob"))
+    # a pair once, and not again for elements that follow a shared one: its first shared element decides
+    fits = F.expr(f"ca <> cb and (not ob or a < b) and not coalesce(ra = rb, false) and 100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * least(na - pa, nb - pb) >= {percent} * (na + nb)")
     return a.join(b, (F.col("s") == F.col("s2")) & fits).select("a", "b")
 
 
