@@ -15,6 +15,8 @@ from factloom.session import freeze
 
 #: A quality verdict, similarity links and packings are beyond SQL; tests hold the run against brute force.
 ORACLE_SQL = None
+#: Least similarity of the near-dedup stage; the 85 of op5_near_duplicates binds that query only.
+NEAR_PERCENT = 80
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +31,9 @@ def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays. Rows without a doc_id stay."""
+    """One document of each group of near-duplicates, of similarity 0.8 or more, stays. Rows without a doc_id stay."""
     # the rows that go are few; written first, so that Spark knows their size before it picks the join
-    gone = freeze(neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "near_gone")
+    gone = freeze(neardup.near_duplicates(docs, percent=NEAR_PERCENT).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "near_gone")
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 

@@ -9,7 +9,8 @@ Texts with equal sets collapse into one class first. Inside a bucket, candidates
 in each round, with another member each time, and only members whose components still differ go on; the rounds
 end when one links few of the pairs it compares. What is left, members outside the largest component of their bucket, is compared with all
 candidates of other components that share a rare shingle early enough to reach the threshold, which loses no link.
-So candidate pairs end in one component, are compared, or cannot be similar, without making all pairs of a group. The chance that a pair of similarity 0.85 shares no bucket is below 1e-6 with 24 bands of 5 values.
+So candidate pairs end in one component, are compared, or cannot be similar, without making all pairs of a group. The number of bands of 5 values follows from the threshold: a pair at it shares no bucket with probability
+below 1e-6 (24 bands at 0.85, 35 at 0.8).
 
 Null and empty texts have an empty set and link with nothing. Rows without a key link with nothing and have a
 null component. Rows that share a key are one node with several texts. Ties go to the smaller key. Columns of
@@ -60,6 +61,11 @@ def _hashers(permutations: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 63, permutations, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, permutations, np.uint64)
 
 
+def bands_for(percent: int, rows: int = ROWS, miss: float = 1e-6) -> int:
+    """Least number of bands with which a pair at the threshold shares no bucket with probability below ``miss``."""
+    return 1 if percent >= 100 else int(np.log(miss) / np.log1p(-((percent / 100) ** rows))) + 1
+
+
 def signature(sets: np.ndarray, permutations: int = PERMUTATIONS) -> np.ndarray:
     """All minima, then all maxima, as unsigned 32-bit values."""
     a, b = _hashers(permutations)
@@ -71,9 +77,10 @@ def signature(sets: np.ndarray, permutations: int = PERMUTATIONS) -> np.ndarray:
     return np.concatenate((lo, hi))
 
 
-def sketch(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+def sketch(docs: DataFrame, key: str, text: str, words: int, n_bands: int = BANDS) -> DataFrame:
     """``doc``, set size, identity of the set (null when empty), band names and the signature of every row."""
     kind = docs.schema[key].dataType.simpleString()
+    permutations = -(-n_bands * ROWS // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest, xxh3_128_digest
@@ -86,9 +93,9 @@ def sketch(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 if not len(s):
                     ident.append(None), bands.append([]), sigs.append(None)
                     continue
-                sig = signature(s)
+                sig = signature(s, permutations)
                 ident.append(xxh3_128_digest(s.tobytes()))
-                bands.append([xxh3_64_intdigest(sig[k * ROWS : (k + 1) * ROWS].tobytes(), k) - (1 << 63) for k in range(BANDS)])
+                bands.append([xxh3_64_intdigest(sig[k * ROWS : (k + 1) * ROWS].tobytes(), k) - (1 << 63) for k in range(n_bands)])
                 sigs.append(sig.astype("<u4").tobytes())
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ident, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc", "n", "ident", "bands", "sig"])
@@ -178,10 +185,10 @@ def _sharing(texts: DataFrame, side: DataFrame, words: int, percent: int) -> Dat
     return a.join(b, (F.col("s") == F.col("s2")) & fits).select("a", "b")
 
 
-def _plausible(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+def _plausible(pairs: DataFrame, sigs: DataFrame, percent: int, n_bands: int = BANDS) -> DataFrame:
     """Pairs whose signatures agree up to six standard deviations below the threshold."""
     j = percent / 100
-    least = j - 6 * (j * (1 - j) / (2 * PERMUTATIONS)) ** 0.5
+    least = j - 6 * (j * (1 - j) / (n_bands * ROWS)) ** 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -197,7 +204,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     """One row per input row: ``key``, ``n_shingles``, ``component_id`` and ``kept``."""
     spark = docs.sparkSession
     ship(spark)
-    rows = freeze(sketch(docs, key, text, words), "sketch")
+    n_bands = bands_for(percent)
+    rows = freeze(sketch(docs, key, text, words, n_bands), "sketch")
     least = rows.where("ident is not null and doc is not null").groupBy("ident").agg(F.min("doc").alias("rep"))
     least = freeze(least, "classes").withColumnRenamed("ident", "of")
     own = F.col("doc") == F.col("rep")
@@ -236,7 +244,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
             if last:
                 side = state.join(mixed.select("band", "name", "main"), ["band", "name"])
                 side = side.groupBy("doc").agg(F.min("comp").alias("comp"), F.max(F.col("comp") != F.col("main")).alias("out"))
-                pairs = _plausible(freeze(_sharing(texts, freeze(side, "side"), words, percent).select(*ends).distinct(), "pairs"), classes, percent)
+                pairs = _plausible(freeze(_sharing(texts, freeze(side, "side"), words, percent).select(*ends).distinct(), "pairs"), classes, percent, n_bands)
             else:  # against another member of another component
                 against = mixed.select("band", "name", "b", "nb", "cb")
                 pairs = state.select("band", "name", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")).join(against, ["band", "name"]).where("ca <> cb").where(near)

@@ -134,6 +134,32 @@ def test_near_duplicate_edges(spark):
     assert got == [(-1, 1, 3, True), (1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (3, 1, 3, True), (4, 1, 3, False), (5, 1, 5, True)] or got[0][0] == -1 and got[1:] == [(1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (3, 1, 3, True), (4, 1, 3, False), (5, 1, 5, True)]
 
 
+def test_bands_follow_the_threshold():
+    assert (neardup.bands_for(85), neardup.bands_for(80)) == (neardup.BANDS, 35)
+    for percent in (50, 80, 85, 95):
+        miss = lambda n, p=percent / 100: (1 - p**neardup.ROWS) ** n
+        n = neardup.bands_for(percent)
+        assert miss(n) < 1e-6 <= miss(n - 1)
+
+
+def test_pipeline_stage_links_from_80_percent(spark):
+    import corpus_pipeline as c
+
+    words = [f"w{k}" for k in range(100)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:44], "x", *words[45:95], *"abcde"]))]  # 86 of 106 shingles
+    rows += [(3, " ".join(f"v{k}" for k in range(100))), (4, " ".join([*(f"v{k}" for k in range(80)), *(f"u{k}" for k in range(20))]))]  # 76 of 116
+    (a, b), sets = (1, 2), _sets(rows)
+    assert 0.8 <= len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 0.85
+    assert {r.doc_id for r in c._near(spark, frame(spark, rows), "").collect()} == {1, 3, 4}
+    assert all(r.kept for r in neardup.near_duplicates(frame(spark, rows)).collect())
+
+
+def test_near_duplicates_at_80_percent(spark):
+    rows = _copies(7)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(frame(spark, rows), percent=80).collect()}
+    assert got == _near(rows, 80)
+
+
 def test_signatures():
     a, b = set(range(1000)), set(range(150, 1150))
     import numpy as np
