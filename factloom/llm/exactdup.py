@@ -88,10 +88,17 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", b
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` that stay, with the same columns. Rows that repeat both key and text are one row."""
-    verdict = exact_duplicates(docs, key, text, block).where("kept").select(F.col(key).alias("_stay_key"), F.col("text_sha256").alias("_stay_sha"))
+    """The rows of ``docs`` that stay, with the same columns. Rows that repeat both key and normalised text are one row:
+    the one with the least text stays."""
+    same = exact_duplicates(docs, key, text, block).where(F.col(key).eqNullSafe(F.col("keep_id"))).groupBy(key, "text_sha256").agg(F.count("*").alias("_times"))
+    verdict = freeze(same.select(F.col(key).alias("_stay_key"), F.col("text_sha256").alias("_stay_sha"), "_times"), "verdict")
     sha = F.sha2(normalised(text).cast("binary"), 256)
-    return docs.join(verdict, F.col(key).eqNullSafe(F.col("_stay_key")) & (sha == F.col("_stay_sha")), "left_semi")
+    stays = F.col(key).eqNullSafe(F.col("_stay_key")) & (sha == F.col("_stay_sha"))
+    repeated = verdict.where("_times > 1")
+    if repeated.isEmpty():
+        return docs.join(verdict, stays, "left_semi")
+    one = docs.join(repeated, stays).groupBy("_stay_key", "_stay_sha").agg(F.min_by(F.struct(*docs.columns), F.coalesce(text, F.lit(""))).alias("_row"))
+    return docs.join(verdict.where("_times = 1"), stays, "left_semi").union(one.select("_row.*"))
 
 
 ORACLE = """

@@ -49,6 +49,15 @@ def test_keep_first(spark):
     assert {r.doc_id for r in kept.collect()} == {1, 3, 4}
 
 
+def test_keep_first_repeated_rows(spark):
+    rows = [(1, "a b"), (1, "a b"), (1, "a  b"), (2, "a b"), (3, "c"), (3, "d"), (4, None), (4, ""), (None, "n"), (None, "n"), (5, "z")]
+    docs = frame(spark, rows).repartition(3)
+    kept = exactdup.keep_first(docs)
+    assert kept.columns == docs.columns
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in kept.collect())
+    assert got == [(-1, "n"), (1, "a  b"), (3, "c"), (3, "d"), (4, ""), (5, "z")]
+
+
 @pytest.mark.parametrize("bound", [0, 1_000_000])
 def test_components(spark, bound):
     rng = random.Random(2)
