@@ -60,7 +60,7 @@ def strong_components(edges: DataFrame, limit: int = 200) -> DataFrame:
         back = inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         hit = freeze(color.where("node = color").select("node", F.col("color").alias("value")), "roots")
         seen = hit
-        for _ in range(limit):
+        while True:  # each front holds new nodes only, so it ends
             fresh = seen.join(back, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "value").distinct().join(hit.select("node"), "node", "left_anti")
             seen = freeze(fresh, "front")
             if seen.isEmpty():

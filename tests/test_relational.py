@@ -84,6 +84,12 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7}
 
 
+def test_component_with_a_long_way_back(spark):
+    rows = [(0, k) for k in range(1, 9)] + [(k, k - 1) for k in range(1, 9)]
+    got = {r.node: r.scc for r in graph.strong_components(spark.createDataFrame(rows, "src int, dst int"), limit=3).collect()}
+    assert got == dict.fromkeys(range(9), 0)
+
+
 def test_forest(spark):
     rows = [("w", "R", "A"), ("w", "R", "B"), ("w", "A", "C"), ("w", "B", "C"), ("w", "S", "C"), ("w", "X", "Y"), ("w", "Y", "X")]
     nodes = spark.createDataFrame([("w", "Z")], "workspace string, node string")
