@@ -32,6 +32,8 @@ from factloom.session import ship
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>\x00]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Any attribute with its value, quoted or not.
+_NAMED = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"[^\"]*\"?|'[^']*'?|[^\s>]+))?")
 _WORD = re.compile(r"[a-z]+")
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 #: Elements whose contents a page does not show as text.
@@ -74,6 +76,11 @@ class Page:
     linked: list[int] = field(default_factory=list)
 
 
+def _hidden(attrs: str) -> bool:
+    """Whether one of the attributes is named ``hidden``; class names and values do not count."""
+    return "hidden" in attrs.lower() and any(m[1].lower() == "hidden" for m in _NAMED.finditer(attrs))
+
+
 def parse(source: str | None, marker: str = "data-main") -> Page:
     """Read a page. ``marker``: an attribute that labels main elements in composed pages."""
     page = Page()
@@ -208,7 +215,7 @@ def parse(source: str | None, marker: str = "data-main") -> Page:
             if tag == "a":
                 in_link -= 1
             continue
-        stack.append((tag, own, unseen or tag in _UNSEEN or bool(re.search(r"(?<![\w-])hidden(?![\w-])", attrs)) and tag in _BLOCK))
+        stack.append((tag, own, unseen or tag in _UNSEEN or tag in _BLOCK and _hidden(attrs)))
     pop(0)
     flush()
     return page

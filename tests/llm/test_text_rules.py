@@ -204,6 +204,17 @@ def test_extraction_held_out(model):
     assert wrong / len(pages) < 0.1
 
 
+@pytest.mark.parametrize("attrs", ['style="overflow:hidden"', "style='overflow: hidden'", 'class="hidden md:block"', "class=hidden", 'title="a > hidden b"', 'aria-hidden="false"', 'data-hidden'])
+def test_only_the_hidden_attribute_hides(attrs):
+    texts = lambda a: [t for _, t in htmltree.parse(f"<html><body {a}><div {a}><p>Some text.</p></div></body></html>").blocks]
+    assert texts(attrs) == ["Some text."]
+
+
+@pytest.mark.parametrize("attrs", ["hidden", 'HIDDEN=""', 'class="x" hidden', 'hidden="until-found" id=a', "style='a:b'hidden/"])
+def test_hidden_attribute_hides(attrs):
+    assert [t for _, t in htmltree.parse(f"<body><div {attrs}><p>Unseen.</p></div><p>Seen.</p></body>").blocks] == ["Seen."]
+
+
 def test_extraction(spark, model):
     page = """<!DOCTYPE html><html><head><title>T &amp; U</title><style>p{}</style><script>var t="</p>";</script></head><body>
     <nav><ul><li><a href="/a">Home</a></li><li><a href="/b">More</a></li></ul></nav><!-- ad --><div class="ad">Buy now, it is good.</div>
