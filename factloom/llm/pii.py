@@ -1,10 +1,13 @@
 """Operator 4: personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
-Seeds are what the base patterns find: emails, addresses, cards and phone numbers. The words to the left of an
-occurrence are its lexical pattern. Patterns and instances form a graph whose scores are computed in rounds: a
-pattern is worth the mean score of its distinct instances, an instance the best of its patterns (a seed 1). A
-pattern is trusted when enough distinct seeds stand behind it and its score is high; instances of trusted
-patterns that no base pattern knows are discovered, and vouch for further patterns in the next round.
+Seeds are what the base patterns find: emails, addresses, cards and phone numbers. The two words to the left of an
+occurrence in the text are its lexical pattern, whether or not they are occurrences themselves. Patterns and
+instances form a graph whose scores are computed in rounds: a pattern with ``n`` distinct instances, of which those
+known as its kind score ``f`` in sum, is worth log(1 + f) / log(1 + n), so that unknown instances weigh less the more
+known ones there are; an instance is worth the best of its patterns when it was first discovered (a seed 1). A
+pattern is trusted when enough distinct known instances stand behind it and its score is high; instances of trusted
+patterns that no base pattern knows are discovered and vouch for further patterns. Rounds end when one discovers
+nothing new; scores never fall, so the next would equal it.
 
 Positions come from the lengths of matches and of the stretches between them, summed in order. Null and empty
 texts have no spans. Repeated rows and keys are handled row by row. Base matches that fail their test are
@@ -62,7 +65,7 @@ def _is_kind(i: int):
 
 def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """All rows (``row``, ``key``), and one row for each match of a base pattern or token with its place, its
-    text and the stretch to its left."""
+    text and, for a token, the text to its left: all of it, or 80 characters, or two words at least."""
     patterns = [*((i, k, p) for i, (k, p) in enumerate(BASE.items())), (_TOKEN_KIND, "token", TOKEN)]
     none = F.array().cast("array<string>")
     t = F.col("t")
@@ -77,24 +80,32 @@ def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tup
         parts.append(F.transform(rows, _as_kind(i)))
     whole = freeze(found.select("row", "key", F.concat(*parts).alias("occ")), "occurrences")
     one = whole.where(F.size("occ") > 0).select("row", F.explode("occ").alias("o")).select("row", "o.*")
-    order = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    placed = one.withColumn("end", F.sum(F.col("gap").cast("long") + F.col("len")).over(order)).withColumn("start", F.col("end") - F.col("len"))
+    order = Window.partitionBy("row", "kind").orderBy("i")
+    placed = one.withColumn("end", F.sum(F.col("gap").cast("long") + F.col("len")).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - F.col("len"))
+    # a token is a whole word, so the two before it hold the two words of its context
+    upto = F.concat("left", F.substring("m", -80, 80))
+    before = [F.coalesce(F.lag(upto, k).over(order), F.lit("")) for k in (2, 1)]
+    placed = placed.withColumn("left", F.substring(F.concat(*before, "left"), -80, 80))
     good = F.lit(False)
     for i, k, _ in patterns:
         good = good | ((F.col("kind") == i) & (_accepted(k, F.col("m")) if k != "token" else F.lit(True)))
     return whole.select("row", "key"), placed.where(good).select("row", "kind", "start", "end", "m", "left")
 
 
-def discover(occ: DataFrame, rounds: int = 2, support: int = 5, trust: float = 0.9, digits: int = 4) -> DataFrame:
+def discover(occ: DataFrame, support: int = 5, trust: float = 0.9, digits: int = 4) -> DataFrame:
     """``row``, ``kind``, ``start``, ``end`` of tokens outside base spans that trusted patterns point at.
 
     ``support``: distinct instances already known that a trusted pattern needs. ``trust``: least pattern score.
     ``digits``: least digits of a discovered token without an at sign."""
-    here = Window.partitionBy("row").orderBy("start", "kind")
+    here = Window.partitionBy("row").orderBy("start", F.desc("kind"))
     base = F.col("kind") < _TOKEN_KIND
     seen = occ.withColumn("before", F.max(F.when(base, F.col("end"))).over(here.rowsBetween(Window.unboundedPreceding, -1)))
     seen = seen.withColumn("after", F.min(F.when(base, F.col("start"))).over(here.rowsBetween(0, Window.unboundedFollowing)))
     free = base | (~F.coalesce(F.col("before") > F.col("start"), F.lit(False)) & ~F.coalesce(F.col("after") < F.col("end"), F.lit(False)))
+    # a base match starts inside a token: what lies to its left is the token's left and the token up to the match
+    seen = seen.withColumn("within", F.last(F.when(~base, F.struct("start", "m", "left")), ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    inner = F.col("within.m").substr(F.lit(1), (F.col("start") - F.col("within.start")).cast("int"))
+    seen = seen.withColumn("left", F.when(base, F.substring(F.concat("within.left", inner), -80, 80)).otherwise(F.col("left"))).drop("within")
     left = F.regexp_extract(F.lower("left"), "(\\S++)\\s++(\\S++)\\s*+$", 0)
     left = F.regexp_replace(F.trim(F.regexp_replace(left, "\\s+", " ")), "[0-9]+", "0")
     lead = F.length(F.regexp_extract("m", "^[^A-Za-z0-9@+]*", 0))
@@ -105,18 +116,22 @@ def discover(occ: DataFrame, rounds: int = 2, support: int = 5, trust: float = 0
     # one edge for each pattern and instance, however often they meet
     edges = freeze(rows.groupBy("pattern", "inst").agg(F.min("kind").alias("kind")), "edges")
     score = freeze(edges.groupBy("inst").agg(F.min("kind").alias("k")).select("inst", F.when(F.col("k") < _TOKEN_KIND, 1.0).otherwise(0.0).alias("score"), "k"), "scores")
-    patterns = None
-    for _ in range(rounds):
-        known = edges.join(score.withColumnRenamed("inst", "of"), F.col("inst") == F.col("of"))
-        per = known.groupBy("pattern").agg(F.avg("score").alias("worth"), F.count_if(F.col("score") >= trust).alias("behind"), *(F.sum(F.when(F.col("k") == i, F.col("score")).otherwise(0.0)).alias(f"v{i}") for i in range(len(BASE))))
+    known, count = -1, score.where("score > 0").count()
+    while count > known:  # every round but the last discovers an instance
+        scored = edges.join(score.withColumnRenamed("inst", "of"), F.col("inst") == F.col("of"))
+        per = scored.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if(F.col("score") > 0).alias("behind"), *(F.sum(F.when(F.col("k") == i, F.col("score")).otherwise(0.0)).alias(f"v{i}") for i in range(len(BASE))))
         best = F.greatest(*(f"v{i}" for i in range(len(BASE))))
         pick = F.lit(None).cast("int")
         for i in reversed(range(len(BASE))):
             pick = F.when(F.col(f"v{i}") == best, F.lit(i)).otherwise(pick)
+        per = per.withColumn("worth", F.log1p(best) / F.log1p("n"))
         patterns = freeze(per.where((F.col("behind") >= support) & (F.col("worth") >= trust)).select(F.col("pattern").alias("p"), "worth", pick.alias("as_kind")), "patterns")
         through = edges.join(patterns, F.col("pattern") == F.col("p")).groupBy("inst").agg(F.max("worth").alias("best"), F.min("as_kind").alias("as_kind"))
         through = freeze(through.withColumnRenamed("inst", "of"), "through")
-        score = freeze(score.join(through, F.col("inst") == F.col("of"), "left").select("inst", F.greatest("score", F.coalesce("best", F.lit(0.0))).alias("score"), F.when(F.col("k") < _TOKEN_KIND, F.col("k")).otherwise(F.coalesce("as_kind", "k")).alias("k")), "scores")
+        new = F.col("score") == 0
+        score = score.join(through, F.col("inst") == F.col("of"), "left").select("inst", F.when(new, F.coalesce("best", F.lit(0.0))).otherwise(F.col("score")).alias("score"), F.when(new, F.coalesce("as_kind", "k")).otherwise(F.col("k")).alias("k"))
+        score = freeze(score, "scores")
+        known, count = count, score.where("score > 0").count()
     trusted = rows.where(F.col("kind") == _TOKEN_KIND).join(patterns.select("p", "as_kind"), F.col("pattern") == F.col("p"))
     return trusted.select("row", (F.col("as_kind") + len(BASE)).alias("kind"), "start", "end")
 

@@ -95,6 +95,38 @@ def test_contexts_discover_identifiers(spark):
     assert got == {100: f"found_phone:{at}:{at + 8}", 101: "", 102: ""}
 
 
+def _found(spark, rows):
+    """Texts of the discovered spans by document."""
+    text = dict(rows)
+    return {r.doc_id: [text[r.doc_id][s.start : s.end] for s in r.pii_spans if s.kind >= len(pii.BASE)] for r in pii.personal_data(frame(spark, rows)).collect()}
+
+
+@pytest.mark.parametrize("known, unknown", [(5, 1), (8, 2), (400, 100)])
+def test_unknown_instances_are_no_negatives(spark, known, unknown):
+    rows = [(i, f"so my phone +1 (274) 555-{1000 + i} is") for i in range(known)] + [(1000 + i, f"so my phone 555-{2000 + i} is") for i in range(unknown)]
+    got = _found(spark, rows)
+    assert all(got[1000 + i] == [f"555-{2000 + i}"] for i in range(unknown)) and not any(got[i] for i in range(known))
+    weak = [(i, f"so in the +1 (274) 555-{1000 + i} is") for i in range(6)] + [(1000 + i, f"so in the {20000 + i} is") for i in range(60)]
+    assert not any(_found(spark, weak).values())
+
+
+def test_discovery_goes_on_to_the_last_round(spark):
+    at = [("my phone", [f"+1 (274) 555-{1000 + i}" for i in range(200)] + [f"555-{2000 + i}" for i in range(60)])]
+    at += [("office line", [f"555-{2000 + i}" for i in range(60)] + [f"555-{3000 + i}" for i in range(12)])]
+    at += [("desk no", [f"555-{3000 + i}" for i in range(12)] + [f"555-{4000 + i}" for i in range(2)])]
+    rows = list(enumerate(f"so {label} {x} is" for label, xs in at for x in xs))
+    got = _found(spark, rows)
+    assert [got[i][0] for i, t in rows if " 555-" in t and "+1" not in t] == [t.split()[3] for _, t in rows if "+1" not in t]
+
+
+def test_context_reaches_over_other_candidates(spark):
+    rows = [(i, f"mail a{i}@b.org then c{i}@d.org ok") for i in range(40)] + [(100, "mail a77@b.org then q5@host ok"), (101, "x 12 q5@host ok"), (102, "1 2345 6789 q5@host")]
+    got = _found(spark, rows)
+    assert got[100] == ["q5@host"] and not got[101] and not got[102]
+    occ = pii.occurrences(frame(spark, [(1, "tel 5551 5552 a=x@y.z,v@w.z 5553")]))[1]
+    assert {r.m: r.left for r in occ.collect() if r.kind == 99} == {"5551": "tel ", "5552": "tel 5551 ", "a=x@y.z,v@w.z": "tel 5551 5552 ", "5553": " 5552 a=x@y.z,v@w.z "}
+
+
 def _measures(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
