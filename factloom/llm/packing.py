@@ -7,9 +7,15 @@ the smallest weighted norm (or the largest weighted dot product with the piece)
 constraint. Sequences with equal residuals and pieces of equal length are handled as groups, so the search is
 over distinct residuals and not over sequences.
 
-Pieces are dealt by hash into groups of about ``group`` pieces, each packed by one task: the task's size does
-not grow with the input, and at most the last few sequences of a group stay open. Null text counts as empty
-(one end id); repeated rows are packed like any other; no row is dropped.
+Pieces are dealt evenly, whatever their keys, into groups of about ``group`` pieces, each packed by one task: the
+task's size does not grow with the input or with a hot key, and at most the last few sequences of a group stay
+open. With a document capacity and an attention capacity that no sequence of pieces can exceed, as in the query,
+tokens alone bind and the rule is plain best-fit.
+
+Null and empty texts hold one end id. A very long text is cut into pieces and none is dropped. Repeated rows and
+rows without a key are packed like any other; ties among equal lengths go by key, piece and place. An empty table
+gives no rows. Columns named ``sequence_id`` or ``offset`` of given pieces are replaced; of documents only key and
+text are read.
 """
 
 from __future__ import annotations
@@ -99,10 +105,9 @@ def cut_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokeniz
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_tokens(vocabulary(tokenizer, folder), end_id)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo in range(0, len(texts), 256):
+            for lo in range(0, b.num_rows, 256):
                 of, start, part = [], [], []
-                for i, row in enumerate(coder.encode(texts[lo : lo + 256])):
+                for i, row in enumerate(coder.encode(b.column(1).slice(lo, 256).to_pylist())):
                     for s in range(0, len(row), tokens):
                         of.append(lo + i)
                         start.append(s)
@@ -119,6 +124,7 @@ def pack_pieces(pieces: DataFrame, key: str = "doc_id", tokens: int = 4096, docu
     """``pieces`` (any columns, with ``key``, ``piece`` and ``length``) with ``sequence_id`` and ``offset``.
     Frozen pieces are expected: they are counted first, which sets the number of groups."""
     ship(pieces.sparkSession)
+    pieces = pieces.select(*[f"`{c}`" for c in pieces.columns if c not in ("sequence_id", "offset")])
     groups = max(1, -(-pieces.count() // group))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,13 +134,14 @@ def pack_pieces(pieces: DataFrame, key: str = "doc_id", tokens: int = 4096, docu
         if not rows:
             return
         # one order whatever way the rows came in, so that a repeated task packs alike
-        t = pa.Table.from_batches(rows).sort_by([("length", "descending"), (key, "ascending"), ("piece", "ascending"), ("start", "ascending")])
+        ties = [n for n in (key, "piece", "start", "ids_crc32") if n in rows[0].schema.names]
+        t = pa.Table.from_batches(rows).sort_by([("length", "descending"), *((n, "ascending") for n in ties)])
         seq, offset = best_fit(t.column("length").to_numpy().astype(np.int64), tokens, documents, attention, score=score)
         t = t.append_column("sequence_id", pa.array(seq + (TaskContext.get().partitionId() << 40))).append_column("offset", pa.array(offset))
         yield from t.combine_chunks().to_batches()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return pieces.repartition(groups, F.xxhash64(key, "piece", "start")).mapInArrow(run, schema)
+    return pieces.repartition(groups).mapInArrow(run, schema)  # dealt in turn: no key can fill a group
 
 
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tokens: int = 4096, **more) -> DataFrame:

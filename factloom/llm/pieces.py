@@ -3,10 +3,16 @@
 All words of a batch lie in one flat array of symbols. Each round finds the lowest pair rank of every word
 (segmented minimum), merges all leftmost non-overlapping places of that rank at once, closes the gaps, and
 takes words without a pair out, until none is left. Merging the places of one rank together equals merging
-them one by one unless the merged piece can itself take part in a pair of no higher rank; for such pieces
-only the word's first place is merged in a round, so the result is exact.
+them one by one up to the first place whose piece forms a pair of no higher rank with a neighbour it has at that
+moment; a word's later places wait for the next round, so the result is exact.
 
-Empty inputs: a null or empty text has only the end id. Repeated rows are encoded like any other row.
+The pieces that are runs of the space symbol share one rank, so that a long run would grow by one symbol a round.
+Such a run is settled directly: while enough of it is left, its front becomes the longest run piece, which pairs
+with nothing, and the rest is the same problem again.
+
+A null or empty text has only the end id. Very long texts and words take time in proportion to their length.
+Repeated rows and rows without a key are encoded like any other; an empty table gives no rows; only key and text
+are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -14,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +90,8 @@ class PieceCodec:
         joined = {p for s in at for p in zip(s, s[1:], strict=False)}
         letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
         self.apart = {(a + b).encode() for a in letters for b in ".," if (a, b) not in joined}
+        self.run, self.run_floor = self._space_run(at, left, right)
+        self.run_id = at.get(SPACE * self.run)
         byte = np.flatnonzero(kind == 6)
         self.byte_id = np.zeros(256, np.int32)
         self.byte_id[[int(text[i][3:5], 16) for i in byte]] = byte
@@ -100,9 +109,22 @@ class PieceCodec:
         self.dtype = "<u2" if self.size <= 1 << 16 else "<u4"
         self.cache = ChunkCache(self._split, self._chunks, self.dtype)
 
+    def _space_run(self, at: dict[str, int], left: list[int], right: list[int]) -> tuple[int, int]:
+        """Length of the longest run of spaces that is a piece, and the length a run must keep in front of its
+        last piece; 0 unless all run pieces share one rank that is the highest and the longest one pairs with nothing."""
+        sizes = [len(s) for s in at if len(s) > 1 and not s.strip(SPACE)]
+        if not sizes or {int(self.rank[at[SPACE * n]]) for n in sizes} != {int(self.rank[self.rank < _FREE].max())}:
+            return 0, 0
+        most = max(sizes)
+        if at[SPACE * most] in {*left, *right}:
+            return 0, 0
+        lead = max(len(s) - len(s.lstrip(SPACE)) for s in at if s.strip(SPACE))  # what a word may take from a run's end
+        return most, 2 * most + lead
+
     @staticmethod
-    def _split(t: str) -> list[bytes]:
-        return _CHUNK.findall(b" " + t.replace(SPACE, " ").encode()) if t else []
+    def _split(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+        chunks = [_CHUNK.findall(b" " + t.replace(SPACE, " ").encode()) if t else [] for t in texts]
+        return list(chain.from_iterable(chunks)), np.array([len(c) for c in chunks], np.int64)
 
     def _lookup(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = (a.astype(np.int64) << 32) | b
@@ -123,6 +145,30 @@ class PieceCodec:
         rank, into = self._lookup(np.repeat(own, len(own)), np.tile(own, len(own)))
         return rank[pair], into[pair]
 
+    def _safe(self, at: np.ndarray, w: np.ndarray, sym: np.ndarray, into: np.ndarray, first: np.ndarray, sizes: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Which places may be merged together: those up to a word's first place whose piece, with the neighbours
+        it has when all places before it are merged, forms a pair that comes no later."""
+        new = into[at]
+        doubt = np.flatnonzero(self.risky[new])
+        ok = np.ones(len(at), bool)
+        if not len(doubt):
+            return ok
+        p, own = at[doubt], w[doubt]
+        k = np.maximum(doubt - 1, 0)
+        joined = (doubt > 0) & (at[k] + 2 == p) & (w[k] == own)
+        stop = np.zeros(len(doubt), bool)
+        has = p > first[own]
+        i = np.flatnonzero(has)
+        stop[i] = self._lookup(np.where(joined[i], new[k[i]], sym[p[i] - 1]), new[doubt[i]])[0] <= least[own[i]]
+        i = np.flatnonzero(p + 2 < first[own] + sizes[own])
+        stop[i] |= self._lookup(new[doubt[i]], sym[p[i] + 2])[0] <= least[own[i]]
+        if stop.any():
+            words, lead = np.unique(own[stop], return_index=True)
+            until = np.full(len(first), len(at), np.int64)
+            until[words] = doubt[stop][lead]
+            ok = np.arange(len(at)) <= until[w]
+        return ok
+
     def merge(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all words after all merges, one after another, and how many each word has. Symbols from
         ``size`` on are characters without a piece."""
@@ -156,10 +202,8 @@ class PieceCodec:
             chained = np.r_[False, (at[1:] == at[:-1] + 1) & (w[1:] == w[:-1])]
             start = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
             take = (np.arange(len(at)) - start) % 2 == 0
-            lead = np.r_[True, w[1:] != w[:-1]]
-            wary = np.zeros(len(which), bool)
-            wary[w[self.risky[into[at]]]] = True
-            at = at[take & (~wary[w] | lead)]
+            at, w = at[take], w[take]
+            at = at[self._safe(at, w, sym, into, first, sizes, least)]
             sym[at] = into[at]
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
@@ -190,6 +234,11 @@ class PieceCodec:
         return (chunk[:-1], chunk[-1:]) if len(chunk) > 2 and chunk[-2:] in self.apart else (chunk,)
 
     def _chunks(self, chunks: list[bytes]) -> list[bytes]:
+        if self.run:
+            q = [max(0, len(c) - len(c.lstrip(b" ")) - self.run_floor) // self.run for c in chunks]
+            if any(q):
+                run = np.array([self.run_id], self.dtype).tobytes()
+                return [run * n + ids for n, ids in zip(q, self._chunks([c[n * self.run :] for c, n in zip(chunks, q, strict=True)]), strict=True)]
         parts = [self._parts(c) for c in chunks]
         words = list({p for c in parts for p in c})
         flat, counts = self.merge([w.decode().replace(" ", SPACE) for w in words])

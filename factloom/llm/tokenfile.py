@@ -3,17 +3,22 @@
 A token file is a Parquet dataset of blocks. A block holds whole documents: their keys, their lengths, and all
 their ids at ``bits`` bits each, the fewest that hold the vocabulary, least significant bit first. ``shard`` is
 a range of keys, ``first`` the place of the block's first id in its shard; with the totals of the shards this
-gives every document's place among all ids. Blocks are written by Spark's committer, so a lost executor or a
-repeated task leaves each block once.
-
-Null text counts as empty and holds only the end id. Rows that share a key are all kept, ordered by text. Null
-keys come first. An empty table gives an empty file that reads back as no rows.
+gives every document's place among all ids. ``least`` and ``most`` are the block's outermost keys, so that a
+look-up skips files and blocks without reading them. Blocks are written by Spark's committer, so a lost executor
+or a repeated task leaves each block once.
+
+Texts are encoded where they are read; ids, not texts, travel to their shard. Shard bounds come from a sample of
+at most ``SAMPLE`` rows' keys; they only balance shards. Rows that share a key are all kept, ordered by a hash of
+their text and then by their place in the input, and may fall into several shards, so a hot key is no hot task.
+Null keys come first. Null and empty texts hold only the end id. A very long text is one block, however long. An
+empty table gives an empty file that reads back as no rows. Columns other than key and text are not read.
 """
 
 from __future__ import annotations
 
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +30,8 @@ from factloom.llm.tokenfiles import vocabulary
 from factloom.llm.wordtokens import word_tokens
 from factloom.session import partitions_for, shared_dir, ship
 
+#: Rows whose keys set the shard bounds, at most; bytes of text in a shard, about.
+SAMPLE, SHARD_BYTES = 20_000, 64 << 20
 BLOCK_IDS = 1 << 18
 
 
@@ -55,47 +62,74 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
     return (flat.astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
 
 
+def _bounds(rows: DataFrame, floor: int) -> list[tuple]:
+    """Upper bounds of all shards but the last, as (key is not null, key, hash, row)."""
+    n = rows.count()  # from the files' footers
+    sample = rows.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).collect()
+    if not sample:
+        return []
+    shards = max(floor, -(-sum(r.size for r in sample) * n // len(sample) // SHARD_BYTES))
+    own = sorted((r.key is not None, r.key, r.h, r.row) if r.key is not None else (False, 0, r.h, r.row) for r in sample)
+    return [own[i * len(own) // shards] for i in range(1, min(shards, len(own)))]
+
+
 def write_token_file(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", end_id: int = 1, folder: str | None = None, block_ids: int = BLOCK_IDS) -> None:
     """Encode every text and write the ids in ascending ``key`` order."""
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema[key].dataType.simpleString()
-    ordered = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).repartitionByRange(partitions_for(spark), F.col("key")).sortWithinPartitions("key", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("h"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    bounds = _bounds(rows.select("key", "h", "row", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")), partitions_for(spark))
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_tokens(vocabulary(tokenizer, folder), end_id)
-        bits, shard = width(coder.size), TaskContext.get().partitionId()
+        bits = width(coder.size)
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                places = zip(*(part.column(i).to_pylist() for i in range(3)), strict=True)
+                shard = [bisect_right(bounds, (k is not None, 0 if k is None else k, h, r)) for k, h, r in places]
+                ids = coder.encode(part.column(3).to_pylist())
+                packed = pa.array([pack(x, bits) for x in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *part.columns[:3], pa.array([len(x) for x in ids], pa.int32()), packed], names=["shard", "key", "h", "row", "n", "packed"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = width(word_tokens(vocabulary(tokenizer, folder), end_id).size)
         keys: list = []
-        rows: list[np.ndarray] = []
+        lens: list[int] = []
+        held: list[bytes] = []
         first = size = block = 0
-        key_type = None
+        shard, key_type = None, None
 
         def full() -> pa.RecordBatch:
             nonlocal first, size, block
-            lens = [len(r) for r in rows]
-            ids = np.concatenate(rows)
-            cols = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), pa.array([size], pa.int64()), pa.array([bits], pa.int32()), pa.array([keys], pa.list_(key_type)), pa.array([lens], pa.list_(pa.int32())), pa.array([pack(ids, bits)], pa.binary())]
+            payload = b"".join(held) if bits % 8 == 0 else pack(np.concatenate([unpack(x, bits, 0, n) for x, n in zip(held, lens, strict=True)]), bits)
+            known = [k for k in keys if k is not None]
+            ends = [pa.array([f(known) if known else None], key_type) for f in (min, max)]
+            cols = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), pa.array([size], pa.int64()), pa.array([bits], pa.int32()), *ends, pa.array([keys], pa.list_(key_type)), pa.array([lens], pa.list_(pa.int32())), pa.array([payload], pa.binary())]
             first, block, size = first + size, block + 1, 0
-            keys.clear()
-            rows.clear()
-            return pa.RecordBatch.from_arrays(cols, names=["shard", "block", "first", "n_ids", "bits", "keys", "lengths", "payload"])
+            keys.clear(), lens.clear(), held.clear()
+            return pa.RecordBatch.from_arrays(cols, names=["shard", "block", "first", "n_ids", "bits", "least", "most", "keys", "lengths", "payload"])
 
         for b in batches:
-            key_type = b.column(0).type
-            own, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo in range(0, len(texts), 256):
-                for k, ids in zip(own[lo : lo + 256], coder.encode(texts[lo : lo + 256]), strict=True):
-                    keys.append(k)
-                    rows.append(ids)
-                    size += len(ids)
+            key_type = b.column(1).type
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                for s, k, n, x in zip(*(part.column(i).to_pylist() for i in (0, 1, 4, 5)), strict=True):
+                    if s != shard:
+                        if held:
+                            yield full()
+                        shard, first, block = s, 0, 0
+                    keys.append(k), lens.append(n), held.append(x)
+                    size += n
                     if size >= block_ids:
                         yield full()
-        if rows:
+        if held:
             yield full()
 
-    ordered.mapInArrow(run, f"shard int, block int, first long, n_ids long, bits int, keys array<{kind}>, lengths array<int>, payload binary").write.option("compression", "none").parquet(path)
+    packed = rows.mapInArrow(encode, f"shard int, key {kind}, h long, row long, n int, packed binary")
+    ordered = packed.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "key", "h", "row")
+    ordered.mapInArrow(blocks, f"shard int, block int, first long, n_ids long, bits int, least {kind}, most {kind}, keys array<{kind}>, lengths array<int>, payload binary").write.option("compression", "none").parquet(path)
 
 
 def read_token_file(spark: SparkSession, path: str, key: str = "doc_id", ids: bool = True) -> DataFrame:
@@ -125,19 +159,28 @@ def read_token_file(spark: SparkSession, path: str, key: str = "doc_id", ids: bo
     return placed.mapInArrow(run, f"`{key}` {kind}, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if ids else ""))
 
 
-def fetch(spark: SparkSession, path: str, wanted: list[int]) -> DataFrame:
-    """Random access: the ids of some documents, reading only blocks that hold one of them."""
-    blocks = spark.read.parquet(path).where(F.arrays_overlap("keys", F.array(*[F.lit(w) for w in wanted])))
+def fetch(spark: SparkSession, path: str, wanted: list, key: str = "doc_id") -> DataFrame:
+    """Random access: ``key`` and ``ids`` of some documents. Blocks whose outermost keys leave all of them out are
+    skipped by the scan's statistics; of the others only the wanted ids are unpacked. Null keys can't be asked for."""
+    ship(spark)
+    blocks = spark.read.parquet(path)
+    kind = blocks.schema["least"].dataType.simpleString()
+    own = set(wanted)
+    near = F.lit(False)
+    for w in own:
+        near = near | ((F.col("least") <= F.lit(w)) & (F.col("most") >= F.lit(w)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for keys, lens, bits, payload in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+            for i in range(b.num_rows):
+                keys, lens, bits, payload = (b.column(c)[i].as_py() for c in range(4))
                 ends = np.cumsum(lens)
-                hits = [k for k, x in enumerate(keys) if x in set(wanted)]
-                rows = [unpack(payload, bits, int(ends[k] - lens[k]), int(ends[k])).astype(np.int32) for k in hits]
-                yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in hits], pa.int64()), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                hits = [k for k, x in enumerate(keys) if x in own]
+                if hits:
+                    rows = [unpack(payload, bits, int(ends[k] - lens[k]), int(ends[k])).astype(np.int32) for k in hits]
+                    yield pa.RecordBatch.from_arrays([b.column(0)[i].values.take(pa.array(hits)), pa.array(rows, pa.list_(pa.int32()))], names=[key, "ids"])
 
-    return blocks.select("keys", "lengths", "bits", "payload").mapInArrow(run, "doc_id long, ids array<int>")
+    return blocks.where(near).select("keys", "lengths", "bits", "payload").mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def scratch_path(spark: SparkSession) -> str:

@@ -1,11 +1,15 @@
 """Token ids of the lower-casing word tokenizer, by way of the tokenizers library and a memo of words.
 
-Its pre-tokenizer drops white space, and no normalisation step joins characters across ASCII white space, so
-each stretch between such white space is encoded on its own and remembered. Null text counts as empty.
+The library cuts a text into letter runs, single digits, runs of other characters and contractions, and encodes
+each on its own. A text is cut here where it surely cuts too: between letters and other characters, and at
+white space. What follows an apostrophe stays whole, and so do stretches with characters whose normal form or
+kind depends on their neighbours. Letter runs that are new are encoded together in one text: the last id of each
+run, and no other, carries the word end. Null text counts as empty.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Sequence
@@ -15,7 +19,31 @@ import numpy as np
 
 from factloom.llm.chunkcache import ChunkCache
 
-_TAIL = re.compile(rb"(.*[A-Za-z0-9])([!-&(-/:-@\[-`{-~]+)", re.S)
+#: Kinds of bytes: white space 0, letters and all beyond ASCII 1, anything else 2.
+_KIND = np.full(256, 2, np.uint8)
+_KIND[[*b" \t\n\r\x0b\x0c"]] = 0
+_KIND[[*range(ord("a"), ord("z") + 1), *range(128, 256)]] = 1
+_LETTERS = re.compile(rb"[a-z\x80-\xff]+")
+#: Beyond ASCII, letters that no normal form changes and that have one lower-case letter; all others are odd.
+_ODD = re.compile("[^\x00-\x7fÀ-ÖØ-öø-įı-ɏ]")
+_JOINED = 6_000
+
+
+def _cut(raws: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """Units of lower-cased texts, and how many each has: stretches of one kind, but for what an apostrophe leads."""
+    a = np.frombuffer(b"\n".join([*raws, b""]), np.uint8)
+    kind = _KIND[a]
+    at = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] * kind[:-1] != 0)) + 1
+    quote = np.flatnonzero(a == 39)
+    if len(quote) and len(at):
+        space = np.flatnonzero(kind == 0)
+        quote, space = np.concatenate(([-1], quote)), np.concatenate(([-1], space))
+        at = at[quote[np.searchsorted(quote, at) - 1] <= space[np.searchsorted(space, at) - 1]]
+    begins = kind != 0
+    begins[1:] &= kind[:-1] == 0
+    begins[at] = True
+    first = np.cumsum([0, *(len(r) + 1 for r in raws[:-1])])
+    return np.insert(a, at, 32).tobytes().split(), np.add.reduceat(begins.astype(np.int64), first)
 
 
 class WordTokens:
@@ -28,27 +56,52 @@ class WordTokens:
         self.size = self.lib.get_vocab_size()
         self.dtype = "<u2" if self.size <= 1 << 16 else "<u4"
         self.tail = np.array([] if end_id is None else [end_id], self.dtype)
-        self.cache = ChunkCache(lambda t: t.encode().split(), self._chunks, self.dtype)
+        self.ends = np.zeros(self.size, bool)
+        suffix = json.loads(self.lib.to_str())["model"].get("end_of_word_suffix")
+        if not suffix:
+            raise ValueError("only tokenizers that mark the end of a word are supported")
+        for token, i in self.lib.get_vocab(with_added_tokens=False).items():
+            self.ends[i] = token.endswith(suffix)
+        self.cache = ChunkCache(self._split, self._units, self.dtype)
 
     @staticmethod
-    def _parts(chunk: bytes) -> tuple[bytes, ...]:
-        """A word and the punctuation behind it, lower-cased where that commutes with the normaliser."""
-        if b"<|" in chunk:  # may hold a special string
-            return (chunk,)
-        if chunk.isascii():
-            chunk = chunk.lower()
-        m = _TAIL.fullmatch(chunk)
-        return m.groups() if m else (chunk,)
-
-    def _chunks(self, chunks: list[bytes]) -> list[bytes]:
-        parts = [self._parts(c) for c in chunks]
-        words = list({p for c in parts for p in c})
+    def _split(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+        raws = [t.encode() for t in texts]
+        odd = [i for i, t in enumerate(texts) if "<|" in t or not (t.isascii() or _ODD.search(t) is None)]  # may hold a special string, or odd characters
+        if not odd:
+            return _cut([r.lower() for r in raws])
+        units: list[bytes] = []
+        counts = np.zeros(len(texts), np.int64)
+        at = 0
+        for i in [*odd, len(texts)]:
+            if i > at:
+                some, counts[at:i] = _cut([r.lower() for r in raws[at:i]])
+                units += some
+            if i < len(texts):
+                some = raws[i].split()
+                counts[i] = len(some)
+                units += some
+            at = i + 1
+        return units, counts
+
+    def _units(self, units: list[bytes]) -> list[bytes]:
         out: dict[bytes, bytes] = {}
-        for lo in range(0, len(words), 20_000):
-            some = words[lo : lo + 20_000]
-            for w, e in zip(some, self.lib.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                out[w] = np.array(e.ids, self.dtype).tobytes()
-        return [out[c[0]] if len(c) == 1 else out[c[0]] + out[c[1]] for c in parts]
+        letters = [u for u in units if _LETTERS.fullmatch(u) and (u.isascii() or _ODD.search(u.decode()) is None)]
+        for lo in range(0, len(letters), _JOINED):
+            some = letters[lo : lo + _JOINED]
+            ids = np.array(self.lib.encode(b" ".join(some).decode(), add_special_tokens=False).ids, self.dtype)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(some):
+                raise AssertionError("a letter run has more than one word end")
+            raw, step = ids.tobytes(), ids.itemsize
+            cut = (stops * step).tolist()
+            out.update(zip(some, [raw[a:b] for a, b in zip([0, *cut], cut, strict=False)], strict=True))
+        rest = [u for u in units if u not in out]
+        for lo in range(0, len(rest), _JOINED):
+            some = rest[lo : lo + _JOINED]
+            for u, e in zip(some, self.lib.encode_batch_fast([u.decode() for u in some], add_special_tokens=False), strict=True):
+                out[u] = np.array(e.ids, self.dtype).tobytes()
+        return [out[u] for u in units]
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         return [np.concatenate((x, self.tail)) for x in self.cache.ids([t or "" for t in texts])]

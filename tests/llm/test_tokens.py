@@ -37,6 +37,22 @@ def test_pieces_equal_the_library(sp):
         assert c.decode(ids) == sp.decode(ids.tolist())
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "#" * 1_000_000, " " * 300_001 + "word", "x" + " " * 70_007 + "#" * 999 + "\n" + " " * 65_536, "ter" * 100_000, "\t" * 50_000, "# " * 50_000, "a" * 300_000])
+def test_long_runs_of_pieces(sp, text):
+    c = pieces.codec(public_tokenizers.path("piece_bpe_32k.model"))
+    assert c.encode([text])[0].tolist() == sp.encode(text, add_eos=True)
+
+
+def test_runs_of_pieces_next_to_others(sp):
+    c = pieces.codec(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(7)
+    texts = [" " * n + tail for n in range(130) for tail in ("", "a", "#", "the", "\n", "/")]
+    for alphabet in (" ▁#", "  a#", "tehrionsand ", "ab \n=-", "#▁ .", "1 2/"):
+        texts += ["".join(rng.choice(alphabet) * rng.choice((1, 1, 2, 3, 9, 40)) for _ in range(rng.randint(1, 30))) for _ in range(150)]
+    for t, ids in zip(texts, c.encode(texts), strict=True):
+        assert ids.tolist() == sp.encode(t, add_eos=True), t
+
+
 def test_decoding_any_ids(sp):
     c = pieces.codec(public_tokenizers.path("piece_bpe_32k.model"))
     rng = random.Random(6)
@@ -63,6 +79,27 @@ def test_word_tokens_equal_the_library(words):
         assert w.encode([t])[0].tolist() == [*words.encode(t or "", add_special_tokens=False).ids, 1], t
 
 
+def test_word_tokens_of_any_mixture(words):
+    w = WordTokens(public_tokenizers.path("word_bpe_49k.json"), 1)
+    rng = random.Random(8)
+    texts = []
+    for alphabet in ("ab '.,\"1", "it's \n'tVe'", "aé—’\t.'1", "aİéͅA\u0300.¡ '", "ab\x1c\x85\xa0.,1", "ß×÷ÿĀɏɐ a.", "<|>ab' endoftext", "AZaz\x80\x7f'\x00 "):
+        texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    for _ in range(2):  # with an empty and with a filled memo
+        for t, ids in zip(texts, w.encode(texts), strict=True):
+            assert ids.tolist() == [*words.encode(t, add_special_tokens=False).ids, 1], t
+
+
+def test_the_memo_is_bounded(words):
+    w = WordTokens(public_tokenizers.path("word_bpe_49k.json"), 1)
+    w.cache.most_bytes, w.cache.group_chars = 20_000, 500
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abcdef") for _ in range(6)) for _ in range(40)) for _ in range(200)] + ["x" * 50_000]
+    for t in texts:
+        assert w.encode([t])[0].tolist() == [*words.encode(t, add_special_tokens=False).ids, 1]
+        assert w.cache.bytes < 60_000 and len(w.cache.memo) < 400
+
+
 @pytest.mark.parametrize("bits", [1, 3, 7, 8, 13, 16, 17, 32])
 def test_bit_packing(bits):
     x = np.random.default_rng(bits).integers(0, 1 << bits, 70_001).astype(np.uint32)
@@ -86,6 +123,38 @@ def test_token_file(spark, words, tmp_path):
     assert {r.doc_id: r.ids for r in tokenfile.fetch(spark, path, [3, 7]).collect()} == {k: got[k].ids for k in (3, 7)}
 
 
+def test_token_file_without_or_with_one_key(spark, words, tmp_path, monkeypatch):
+    """All rows under one key: they fall into several shards, all are kept, and places have no gap."""
+    monkeypatch.setattr(tokenfile, "SHARD_BYTES", 400)
+    for own in (None, 7):
+        rows = [(own, f"text {i} of many") for i in range(60)] + [(own, "same")] * 40 + [(own, None), (own, "w " * 30_000)]
+        path = str(tmp_path / f"k{own}")
+        tokenfile.write_token_file(frame(spark, rows).repartition(3), path, block_ids=64)
+        got = sorted(tokenfile.read_token_file(spark, path).collect(), key=lambda r: r.start)
+        assert len({r.shard for r in spark.read.parquet(path).collect()}) > 3
+        at = 0
+        for r in got:
+            assert r.doc_id == own and r.start == at and r.n_tokens == len(r.ids)
+            at += r.n_tokens
+        want = sorted([*words.encode(t or "", add_special_tokens=False).ids, 1] for _, t in rows)
+        assert sorted(r.ids for r in got) == want
+
+
+def test_token_file_by_string_keys(spark, words, tmp_path):
+    path = str(tmp_path / "s")
+    docs = spark.createDataFrame([(f"k{i:03}", f"a text {i}") for i in range(300)] + [(None, "x")], "name string, text string")
+    tokenfile.write_token_file(docs, path, key="name", block_ids=20)
+    got = {r.name: r.start for r in tokenfile.read_token_file(spark, path, key="name", ids=False).collect()}
+    assert sorted(got, key=lambda k: (k is not None, k or "")) == sorted(got, key=got.get)
+    found = {r.name: r.ids for r in tokenfile.fetch(spark, path, ["k007", "k250", "nobody"], key="name").collect()}
+    assert found == {k: [*words.encode(f"a text {int(k[1:])}", add_special_tokens=False).ids, 1] for k in ("k007", "k250")}
+
+
+@pytest.mark.parametrize("size, bits", [(49_408, 16), (70_000, 17), (300, 9)])
+def test_width(size, bits):
+    assert tokenfile.width(size) == bits
+
+
 def test_empty_token_file(spark, tmp_path):
     path = str(tmp_path / "e")
     tokenfile.write_token_file(frame(spark, []), path)
