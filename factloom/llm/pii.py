@@ -2,9 +2,9 @@
 
 Seeds are what the base patterns find: emails, addresses, cards and phone numbers. Candidates are stretches without
 white space that hold a digit or an at sign, and runs of such numbers parted by single spaces. The words around an
-occurrence, marks of punctuation and line ends among them, are its lexical patterns: one to three to its left, one to
-three to its right, one on both sides, and one on either side with the shape of the identifier (letters, digits and
-separators). Patterns and instances form a graph whose scores are computed in rounds. A pattern is worth the summed
+occurrence, marks of punctuation and line ends among them, are its lexical patterns: one to three to its left, one on
+both sides, and one to its left or one to three to its right together with the shape of the identifier (letters, digits
+and separators); what follows says too little on its own. Patterns and instances form a graph whose scores are computed in rounds. A pattern is worth the summed
 score of its known instances of one kind over that of all its known instances, a quarter for each unknown one, and a
 quarter: a share, so that it means the same in a small and a large corpus, and one in which an unknown instance is no
 negative but no confirmation either. An instance is worth the best of its patterns when it was first discovered (a
@@ -147,8 +147,8 @@ def contexts(occ: DataFrame, digits: int = 4) -> DataFrame:
     l, r = F.col("l"), F.col("r")
     word = lambda side, k: F.try_element_at(side, F.lit(-k if side is l else k))
     chain = lambda side, k: [x for j in range(1, k + 1) for x in ("\t", word(side, j))]
-    made = [_named(f"L{k}", *chain(l, k)) for k in range(1, WORDS + 1)] + [_named(f"R{k}", *chain(r, k)) for k in range(1, WORDS + 1)]
-    made += [_named("LR", *chain(l, 1), *chain(r, 1)), _named("LS", *chain(l, 1), "\t", shape), _named("RS", *chain(r, 1), "\t", shape)]
+    made = [_named(f"L{k}", *chain(l, k)) for k in range(1, WORDS + 1)] + [_named(f"R{k}", *chain(r, k), "\t", shape) for k in range(1, WORDS + 1)]
+    made += [_named("LR", *chain(l, 1), *chain(r, 1)), _named("LS", *chain(l, 1), "\t", shape)]
     return rows.select("row", "kind", "start", (F.col("start") + F.length("own")).alias("end"), _named(F.col("own")).alias("inst"), F.filter(F.array(*made), lambda p: p.isNotNull()).alias("patterns"))
 
 

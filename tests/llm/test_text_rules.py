@@ -123,8 +123,16 @@ def test_context_reaches_over_other_candidates(spark):
     rows = [(i, f"mail a{i}@b.org then c{i}@d.org ok") for i in range(40)] + [(100, "mail a77@b.org then q5@host ok"), (101, "x 12 q5@host ok"), (102, "1 2345 6789 q5@host")]
     got = _found(spark, rows)
     assert got[100] == ["q5@host"] and not got[101] and not got[102]
-    occ = pii.occurrences(frame(spark, [(1, "tel 5551 5552 a=x@y.z,v@w.z 5553")]))[1]
-    assert {r.m: r.left for r in occ.collect() if r.kind == 99} == {"5551": "tel ", "5552": "tel 5551 ", "a=x@y.z,v@w.z": "tel 5551 5552 ", "5553": " 5552 a=x@y.z,v@w.z "}
+    occ = pii.occurrences(frame(spark, [(1, "tel 5551 5552 a=x@y.z,v@w.z 5553 to b@c 77 d@e f1")]))[1]
+    words = {r.m: (pii_words(r.left), pii_words(r.right)) for r in occ.collect() if r.kind == 99}
+    assert set(words) == {"5551 5552", "a=x@y.z,v@w.z", "5553", "b@c", "77", "d@e", "f1"}
+    for m, (left, right) in words.items():  # three words on either side, whatever lies between, or all there are
+        before, after = "tel 5551 5552 a=x@y.z,v@w.z 5553 to b@c 77 d@e f1".split(m, 1)
+        assert left[-3:] == before.split()[-3:] and right[:3] == after.split()[:3], m
+
+
+def pii_words(side):
+    return [w for w in side.split() if w]
 
 
 def _measures(t):
