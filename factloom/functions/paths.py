@@ -138,7 +138,7 @@ def is_source_path(path: Column | str, ignored: tuple[str, ...] = ("target", ".g
 
 def visibility_bucket(text: Column | str) -> Column:
     v = _c(text)
-    return F.when(v == "pub", "pub").when(v == "pub(crate)", "pub_crate").when(v == "pub(super)", "pub_super").when(v.startswith("pub("), "pub_in_path").otherwise("private")
+    return F.when(v == "pub", "pub").when(v == "pub(crate)", "pub_crate").when(v == "pub(super)", "pub_super").when(v == "pub(self)", "private").when(v.startswith("pub("), "pub_in_path").otherwise("private")
 
 
 def is_real_visibility(text: Column | str) -> Column:
@@ -147,7 +147,7 @@ def is_real_visibility(text: Column | str) -> Column:
 
 def borrow_flavor(type_text: Column | str) -> Column:
     t = F.trim(_c(type_text))
-    return F.when(t.rlike("^\\*(const|mut)\\b"), "raw").when(t.rlike("^&\\s*('\\w+\\s+)?mut\\b"), "mut").when(t.startswith("&"), "shared").otherwise("move")
+    return F.when(t.rlike("^\\*\\s*(const|mut)(\\s|$)"), "raw").when(t.rlike("^&\\s*('[^\\s>),]*\\s*)?mut(\\s|$)"), "mut").when(t.startswith("&"), "shared").otherwise("move")
 
 
 def cardinality_rank(card: Column | str) -> Column:

@@ -34,10 +34,12 @@ def conflicts(boxes: DataFrame, clearance: int = 0, cell: int = 256) -> DataFram
     return hit.select(F.col("a.region").alias("region"), F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
 
-def long_rows(rows: DataFrame, box: str = "box", width: str = "width") -> DataFrame:
-    """Rows to set apart: at least 360 wide and 1.8 times the median of the box's narrower rows."""
+def long_rows(rows: DataFrame, box: str = "box", width: str = "width", header: str = "header") -> DataFrame:
+    """Rows to set apart: at least 360 wide and 1.8 times the median of the box's narrower rows, or where it has none
+    1.8 times its ``header`` width (a column; without it such a box has no header)."""
+    head = F.col(header) if header in rows.columns else F.lit(0)
     normal = rows.where(F.col(width) < LONG_ROW).groupBy(F.col(box).alias("_b")).agg(F.median(width).alias("mid"))
-    return rows.join(normal, F.col(box) == F.col("_b"), "left").select(*rows.columns, ((F.col(width) >= LONG_ROW) & (F.col("mid").isNull() | (F.col(width) >= LONG_FACTOR * F.col("mid")))).alias("long"))
+    return rows.join(normal, F.col(box) == F.col("_b"), "left").select(*rows.columns, ((F.col(width) >= LONG_ROW) & (F.col(width) >= LONG_FACTOR * F.greatest(F.coalesce("mid", head), F.lit(1)))).alias("long"))
 
 
 def fragments(rows: DataFrame, box: str = "box", ord: str = "ord") -> DataFrame:

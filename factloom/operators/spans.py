@@ -31,9 +31,9 @@ def resolve_lines(probes: DataFrame, spans: DataFrame, calls: DataFrame | None =
     Tiers: the smallest call interval around the line whose callee is an indexed element; the smallest element
     around it; the next element; the previous one; the module of the file. Ties of one to three go to the earlier
     start, then the smaller span; of equal ends before the line the last in index order wins. A line without any
-    gets a null element. One window ranks all tiers."""
+    gets a null element, and a probe without a line the module. One window ranks all tiers."""
     s = spans.select(F.col("file").alias("_f"), F.col("element_id").cast("string").alias("element_id"), "start_line", "end_line")
-    c = probes.join(s, F.col("file") == F.col("_f"))
+    c = probes.where("line is not null").join(s, F.col("file") == F.col("_f"))
     line, size = F.col("line"), F.col("end_line") - F.col("start_line")
     tier = F.when((F.col("start_line") <= line) & (line <= F.col("end_line")), 1).when(F.col("start_line") >= line, 2).otherwise(3)
     c = c.select(*probes.columns, "element_id", tier.alias("tier"), F.when(tier == 1, size).when(tier == 2, F.col("start_line")).otherwise(-F.col("end_line")).alias("k1"), F.when(tier == 3, -F.col("start_line")).otherwise(F.col("start_line")).alias("k2"), F.when(tier == 3, -size).otherwise(size).alias("k3"))

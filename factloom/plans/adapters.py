@@ -35,11 +35,10 @@ PROJECTIONS: dict[str, str] = {
     "modgraph": """
         SELECT DISTINCT sn.n_name AS src, cn.n_name AS dst FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {supplier} ON l_suppkey = s_suppkey JOIN {customer} ON o_custkey = c_custkey
         JOIN {nation} sn ON s_nationkey = sn.n_nationkey JOIN {nation} cn ON c_nationkey = cn.n_nationkey
-        WHERE l_quantity = 50 AND (7 * s_nationkey + 3 * c_nationkey) % 11 < 1 AND s_nationkey <> c_nationkey""",
+        WHERE s_nationkey <> c_nationkey""",
     "buyers": """
         SELECT DISTINCT p_partkey, p_size, place || '::' || c_mktsegment || '::' || c_name AS owner, place || '::' || c_mktsegment AS owner_module, c_acctbal, c_custkey
-        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey JOIN {customer} ON o_custkey = c_custkey JOIN {places} ON c_nationkey = n_nationkey
-        WHERE o_orderpriority = '1-URGENT' AND l_quantity > 45""",
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey JOIN {customer} ON o_custkey = c_custkey JOIN {places} ON c_nationkey = n_nationkey""",
     "homes": """
         SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN split_part(m, '::', 1) WHEN 1 THEN split_part(m, '::', 1) || '::' || split_part(m, '::', 2)
                WHEN 2 THEN split_part(m, '::', 1) || '::' || split_part(m, '::', 2) || '::' || split_part(m, '::', 3) ELSE m END AS home

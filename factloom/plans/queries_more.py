@@ -29,11 +29,12 @@ def sf8(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "types").select("full_path", F.array_join(a, "|").alias("chain"), F.size(a).alias("n"))
 
 
-@query("sf19_type_text", "SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'raw' WHEN 1 THEN 'mut' WHEN 2 THEN 'shared' ELSE 'move' END AS flavor, CASE l_linenumber % 4 WHEN 0 THEN '*const T' WHEN 1 THEN '&''a mut T' WHEN 2 THEN '&T' ELSE 'Vec<T>' END AS ty FROM {lineitem} WHERE l_quantity > 48")
+@query("sf19_type_text", "SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN 'mut' WHEN 2 THEN 'shared' WHEN 3 THEN 'move' WHEN 4 THEN 'raw' WHEN 5 THEN 'raw' WHEN 6 THEN 'shared' ELSE 'move' END AS flavor, CASE l_linenumber WHEN 1 THEN '&''a mut T' WHEN 2 THEN '&T' WHEN 3 THEN 'Vec<T>' WHEN 4 THEN '*const T' WHEN 5 THEN '* const T' WHEN 6 THEN '&mut(T)' ELSE '*constant' END AS ty FROM {lineitem}")
 def sf19(spark: SparkSession, d: str) -> DataFrame:
-    m = F.col("l_linenumber") % 4
-    ty = F.when(m == 0, "*const T").when(m == 1, "&'a mut T").when(m == 2, "&T").otherwise("Vec<T>")
-    return read(spark, d, "lineitem").where("l_quantity > 48").withColumn("ty", ty).select("l_orderkey", "l_linenumber", P.borrow_flavor("ty").alias("flavor"), "ty")
+    ty = F.lit("*constant")
+    for k, text in enumerate(("&'a mut T", "&T", "Vec<T>", "*const T", "* const T", "&mut(T)"), 1):
+        ty = F.when(F.col("l_linenumber") == k, text).otherwise(ty)
+    return read(spark, d, "lineitem").withColumn("ty", ty).select("l_orderkey", "l_linenumber", P.borrow_flavor("ty").alias("flavor"), "ty")
 
 
 @query("sf21_ids_and_signatures", "SELECT p_partkey, p_brand || '::' || p_name || CASE WHEN p_size % 2 = 0 THEN '@' || p_type ELSE '' END AS method_id, p_name || '(a: ' || p_type || ')' || CASE WHEN p_size % 3 = 0 THEN '' ELSE ' -> ' || p_brand END AS signature, CASE WHEN length(p_type) <= 8 THEN p_type ELSE left(p_type, 7) || '…' END AS short FROM {part}")
@@ -106,10 +107,10 @@ def ag26(spark: SparkSession, d: str) -> DataFrame:
     return L.bounds(_boxes(spark, d), "region")
 
 
-@query("ly5_long_rows", "WITH r AS (SELECT o_custkey AS box, o_orderkey AS ord, CAST(o_orderkey % 700 AS DOUBLE) AS width FROM orders), m AS (SELECT box, median(width) AS mid FROM r WHERE width < 360 GROUP BY box) SELECT r.box, r.ord, r.width, width >= 360 AND (mid IS NULL OR width >= 1.8 * mid) AS long FROM r LEFT JOIN m ON m.box = r.box")
+@query("ly5_long_rows", "WITH r AS (SELECT o_custkey AS box, o_orderkey AS ord, CAST(o_orderkey % 700 AS DOUBLE) AS width, o_custkey % 400 AS header FROM orders), m AS (SELECT box, median(width) AS mid FROM r WHERE width < 360 GROUP BY box) SELECT r.box, r.ord, r.width, width >= 360 AND width >= 1.8 * greatest(coalesce(mid, header), 1) AS long FROM r LEFT JOIN m ON m.box = r.box")
 def ly5(spark: SparkSession, d: str) -> DataFrame:
-    r = read(spark, d, "orders").select(F.col("o_custkey").alias("box"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") % 700).cast("double").alias("width"))
-    return L.long_rows(r)
+    r = read(spark, d, "orders").select(F.col("o_custkey").alias("box"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") % 700).cast("double").alias("width"), (F.col("o_custkey") % 400).alias("header"))
+    return L.long_rows(r).drop("header")
 
 
 @query("ly6_fragments", "WITH r AS (SELECT o_custkey AS box, o_orderkey AS ord, o_orderstatus = 'F' AS long FROM orders), n AS (SELECT *, CASE WHEN long IS DISTINCT FROM lag(long) OVER (PARTITION BY box ORDER BY ord) THEN 1 ELSE 0 END AS new FROM r) SELECT box, ord, long, CAST(sum(new) OVER (PARTITION BY box ORDER BY ord ROWS UNBOUNDED PRECEDING) AS BIGINT) AS fragment FROM n")

@@ -288,3 +288,13 @@ def test_debounce_and_cache(spark):
 def test_entry_without_extras(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_rules_at_their_edges(spark):
+    p = lambda s: F.lit(s)
+    assert list(one(spark, P.visibility_bucket(p("pub(self)")), P.borrow_flavor(p("* const T")), P.borrow_flavor(p("&mut(T)")), P.borrow_flavor(p("&'a mut T")))) == ["private", "raw", "shared", "mut"]
+    probes = spark.createDataFrame([(1, "f", None), (2, "f", 5)], "probe int, file string, line long")
+    found = spans.resolve_lines(probes, spark.createDataFrame([("f", "e", 1, 3)], "file string, element_id string, start_line long, end_line long"), modules=spark.createDataFrame([("f", "m")], "file string, module_id string"))
+    assert {r.probe: (r.element_id, r.how) for r in found.collect()} == {1: ("m", "module"), 2: ("e", "previous")}
+    boxes = spark.createDataFrame([("a", 400.0, 300.0), ("b", 400.0, 100.0)], "box string, width double, header double")
+    assert {r.box: r.long for r in layout.long_rows(boxes).collect()} == {"a": False, "b": True}
