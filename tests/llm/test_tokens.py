@@ -90,14 +90,18 @@ def test_word_tokens_of_any_mixture(words):
             assert ids.tolist() == [*words.encode(t, add_special_tokens=False).ids, 1], t
 
 
-def test_the_memo_is_bounded(words):
-    w = WordTokens(public_tokenizers.path("word_bpe_49k.json"), 1)
-    w.cache.most_bytes, w.cache.group_chars = 20_000, 500
+@pytest.mark.parametrize("places_log2", [1, 6, 20])
+def test_the_memo_is_bounded(words, places_log2):
+    """Units that share a place, that differ only past their eighth byte or by zero bytes, and long ones."""
+    w = WordTokens(public_tokenizers.path("word_bpe_49k.json"), 1, group_bytes=500, places_log2=places_log2, most_ids=2_000)
     rng = random.Random(9)
-    texts = [" ".join("".join(rng.choice("abcdef") for _ in range(6)) for _ in range(40)) for _ in range(200)] + ["x" * 50_000]
+    texts = [" ".join("".join(rng.choice("abcdef") for _ in range(rng.randint(1, 18))) for _ in range(40)) for _ in range(200)]
+    texts += ["x" * 50_000, "abcdefghi abcdefghj abcdefgh abcdefghijklmnop abcdefghijklmnopq", "a a\x00 \x00 \x00\x00 !!!!!!!!! !!!!!!!!!\x00"] * 2
     for t in texts:
         assert w.encode([t])[0].tolist() == [*words.encode(t, add_special_tokens=False).ids, 1]
-        assert w.cache.bytes < 60_000 and len(w.cache.memo) < 400
+        assert w.memo.used < 2_000 + 40_000
+    w.encode(["a", "b"])
+    assert w.memo.used <= 2_000 and len(w.memo.pool) == 1 << 16
 
 
 @pytest.mark.parametrize("bits", [1, 3, 7, 8, 13, 16, 17, 32])
