@@ -70,9 +70,9 @@ def common_ancestor(a: Column | str, b: Column | str) -> Column:
 
 
 def tree_distance(a: Column | str, b: Column | str) -> Column:
-    """Steps from ``a`` up to the common ancestor and down to ``b``."""
-    both = common_prefix_length(segments(a), segments(b))
-    return F.size(segments(a)) + F.size(segments(b)) - 2 * both
+    """Steps from ``a`` up to the common ancestor and down to ``b``; the empty path has no segments."""
+    both = F.when((_c(a) == "") | (_c(b) == ""), F.lit(0)).otherwise(common_prefix_length(segments(a), segments(b)))
+    return depth(a) + depth(b) - 2 * both
 
 
 def ancestors(path: Column | str, include_self: bool = False, sep: str = SEP) -> Column:

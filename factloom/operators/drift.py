@@ -23,8 +23,10 @@ def _classified(items: DataFrame, lca: DataFrame, item: str) -> DataFrame:
 
 
 def drift_cli(items: DataFrame, owners: DataFrame, max_below: int = 1, item: str = "item") -> DataFrame:
-    """``item``, ``home``, ``lca``, ``n_owners``, ``drift`` and ``severity``; unowned items have no owners' class."""
+    """``item``, ``home``, ``lca``, ``n_owners``, ``drift`` and ``severity``; unowned items have no owners' class.
+    The empty path is nobody's ancestor here."""
     j = _classified(items, owners_lca(owners, item), item)
+    j = j.withColumn("below", F.col("below") & (F.col("lca") != "")).withColumn("above", F.col("above") & (F.col("home") != ""))
     cls = F.when(F.col("lca").isNull(), "no_owners").when(F.col("home") == F.col("lca"), "at_lca").when(F.col("below"), F.when(F.col("levels") <= max_below, "below_within_budget").otherwise("below")).when(F.col("above"), "above").otherwise("sideways")
     far = P.tree_distance("home", "lca")
     severity = F.when(F.col("lca").isNull() | (F.col("home") == F.col("lca")), 0).when(F.col("below") | F.col("above"), F.abs("levels")).otherwise(far)

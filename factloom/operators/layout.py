@@ -100,7 +100,7 @@ def path_lengths(points: DataFrame, path: str = "path", ord: str = "ord") -> Dat
 
 def routes(requests: DataFrame, obstacles: DataFrame, turn: float = 30.0) -> DataFrame:
     """Shortest orthogonal ways around the obstacles of a layout, one layout per group: length plus a price per turn,
-    on the lines of obstacle edges and end points. Rows (layout, request, ord, x, y)."""
+    on the lines of obstacle edges and end points. Rows (layout, request, ord, x, y). A request without a way is an error."""
     ship(requests.sparkSession)
     both = requests.select("layout", F.lit(0).alias("what"), F.col("request"), "x0", "y0", "x1", "y1").unionByName(obstacles.select("layout", F.lit(1).alias("what"), F.lit(None).cast("long").alias("request"), "x0", "y0", "x1", "y1"))
 
@@ -139,6 +139,8 @@ def routes(requests: DataFrame, obstacles: DataFrame, turn: float = 30.0) -> Dat
                     if c < best.get((q, to), float("inf")):
                         best[q, to], back[q, to] = c, (p, way)
                         heapq.heappush(heap, (c, q, to))
+            else:
+                raise ValueError(f"no way for request {r.request}")
         cols = ["layout", "request", "ord", "x", "y"]
         return pd.DataFrame({c: pd.Series([x[k] for x in rows], dtype=object) for k, c in enumerate(cols)})
 

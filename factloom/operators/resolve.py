@@ -26,12 +26,12 @@ def resolve_types(refs: DataFrame, known: DataFrame) -> DataFrame:
 def resolve_reexports(exports: DataFrame, types: DataFrame, functions: DataFrame) -> DataFrame:
     """Re-exports (``export_id``, ``hint`` path, ``module_id``) with ``target`` and ``target_kind``.
 
-    Types come first; functions only where no type has the name. Of several candidates: the first with the longest
+    Types come first; functions, which have no kind, only where no type has the name. Of several candidates: the first with the longest
     suffix of modules in common with the hint, else with the module itself, else the smallest path."""
     e = exports.withColumn("_h", F.filter(P.segments("hint"), lambda s: ~s.isin("crate", "self", "super", "Self")))
     e = e.withColumn("_leaf", F.element_at("_h", -1))
     t = types.select("name", F.col("full_path").alias("path"), F.col("kind").alias("target_kind"), F.col("ord").alias("_ord"), F.lit(0).alias("tier"))
-    f = functions.select("name", "path", F.lit("function").alias("target_kind"), F.col("ord").alias("_ord"), F.lit(1).alias("tier"))
+    f = functions.select("name", "path", F.lit(None).cast("string").alias("target_kind"), F.col("ord").alias("_ord"), F.lit(1).alias("tier"))
     c = e.join(t.unionByName(f).withColumnRenamed("name", "_n"), F.col("_leaf") == F.col("_n"))
     own = Window.partitionBy("export_id")
     c = c.withColumn("_first", F.min("tier").over(own)).where("tier = _first")

@@ -27,6 +27,8 @@ EXPORT = "module_id string, exposed_name string, hint string, visibility string,
 MODULE = "module string, module_id string, file string"
 CALL = "caller string, kind string, path string, name string, self_type string, owner_type string, module_id string, hint string, type_hint string, origin string, callsite_start_line int, callsite_end_line int"
 PRUNED = ("target", "tmp", ".git", "node_modules", "dist", "build")
+#: Folders that hold no Rust package; below a package's ``src`` the names mean nothing.
+PRUNED_RUST = ("target", "tmp", ".git", "node_modules")
 
 
 @dataclass
@@ -40,10 +42,13 @@ class Facts:
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """All source and manifest files below ``root`` with their path relative to it; pruned folders are filtered out."""
+    """All source and manifest files below ``root`` with their path relative to it. Pruned folders are filtered out,
+    for Rust sources those that no ``src`` folder lies above."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{rs,ts,tsx,toml,json}").load(root)
     rel = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + _quoted(root.rstrip("/")) + "/", "")
-    return df.withColumn("rel", rel).where(~F.arrays_overlap(F.split("rel", "/"), F.array(*map(F.lit, PRUNED)))).select("rel", "modificationTime", "length", F.col("content").cast("string").alias("source"))
+    rust = ~F.col("rel").rlike("^(?:(?!src/)[^/]+/)*(?:" + "|".join(map(_quoted, PRUNED_RUST)) + ")/")
+    other = ~F.arrays_overlap(F.split("rel", "/"), F.array(*map(F.lit, PRUNED)))
+    return df.withColumn("rel", rel).where(F.when(F.col("rel").rlike("\\.(rs|toml)$"), rust).otherwise(other)).select("rel", "modificationTime", "length", F.col("content").cast("string").alias("source"))
 
 
 def _quoted(s: str) -> str:
@@ -57,8 +62,10 @@ def _folder(c: Column) -> Column:
 def rust_packages(files: DataFrame) -> DataFrame:
     """``crate``, ``src`` folder: manifests with a package section beside a ``src`` folder that holds sources."""
     m = files.where(F.col("rel").rlike("(^|/)Cargo\\.toml$") & F.col("source").contains("[package]"))
+    m = m.where(~F.arrays_overlap(F.split("rel", "/"), F.array(*map(F.lit, PRUNED_RUST))))
     root = _folder(F.col("rel"))
-    name = F.regexp_extract("source", "(?sm)\\[package\\].*?^\\s*name\\s*=\\s*\"([^\"]+)\"", 1)
+    section = F.regexp_extract("source", "(?ms)^\\s*\\[package\\]\\s*$(.*?)(?=^\\s*\\[|\\z)", 1)
+    name = F.regexp_extract(section, "(?m)^\\s*name\\s*=\\s*\"([^\"]+)\"", 1)
     m = m.select(root.alias("root"), F.when(name != "", name).otherwise(F.element_at(F.split(root, "/"), -1)).alias("crate"))
     m = m.withColumn("src", F.when(F.col("root") == "", "src").otherwise(F.concat("root", F.lit("/src"))))
     has = files.where(F.col("rel").endswith(".rs")).select(F.explode(P.ancestors("rel", False, "/")).alias("_s")).distinct()
@@ -122,14 +129,41 @@ def _of(rows: DataFrame, what: str, schema: str) -> DataFrame:
     return f.select(*cols, "_file", "x.*").withColumn("seq", F.struct("_file", "ord"))
 
 
-def attach_impls(types: DataFrame, impls: DataFrame) -> DataFrame:
-    """Types with the traits and unsafe blocks of the impl blocks of their own file: the type of that name in the
-    block's module, else in any module of the file, else a stub row with visibility ``<orphan-impl>``."""
+def _impl_targets(types: DataFrame, impls: DataFrame) -> DataFrame:
+    """Impl blocks with ``full_path``, the type of their name in their own file: that of the block's module, else the
+    first of any module, else null; and ``target``, that path or the one the block's module would give."""
     t = types.select("_file", F.col("name").alias("_n"), F.col("module").alias("_m"), "full_path", F.col("ord").alias("_o"))
     i = impls.withColumn("impl_id", F.struct("_file", "ord"))
     j = i.join(t.withColumnRenamed("_file", "_f"), (F.col("_file") == F.col("_f")) & (F.col("type_name") == F.col("_n")), "left")
     best = F.row_number().over(Window.partitionBy("impl_id").orderBy((F.col("module") == F.col("_m")).cast("int").desc_nulls_last(), "_o"))
-    j = j.withColumn("rn", best).where("rn = 1").withColumn("target", F.coalesce("full_path", F.concat_ws("::", "module_id", "type_name")))
+    return j.withColumn("rn", best).where("rn = 1").withColumn("target", F.coalesce("full_path", F.concat_ws("::", "module_id", "type_name")))
+
+
+def impl_owners(types: DataFrame, impls: DataFrame) -> DataFrame:
+    """``_file``, ``written``, ``owner``: for owners named by the module of an impl block, the type it belongs to,
+    where that is another."""
+    written = F.concat_ws("::", "module_id", "type_name")
+    j = _impl_targets(types, impls).withColumn("written", written).where("full_path is not null and full_path <> written")
+    return j.groupBy("_file", "written").agg(F.min("full_path").alias("owner"))
+
+
+def with_owners(rows: DataFrame, owners: DataFrame, columns: list[str], member: str | None = None) -> DataFrame:
+    """``rows`` whose ``columns`` name the true owners; ``member`` is an id below the first of them."""
+    cols = rows.columns
+    for c in columns:
+        o = owners.select(F.col("_file").alias("_of"), F.col("written").alias("_w"), F.col("owner").alias("_o"))
+        rows = rows.join(o, (F.col("_file") == F.col("_of")) & (F.col(c) == F.col("_w")), "left")
+        if member and c == columns[0]:
+            moved = F.concat("_o", F.substring(member, F.length("_w") + 1, F.length(member)))
+            rows = rows.withColumn(member, F.when(F.col("_o").isNotNull() & F.col(member).startswith(F.concat("_w", F.lit("::"))), moved).otherwise(F.col(member)))
+        rows = rows.withColumn(c, F.coalesce("_o", c)).select(cols)
+    return rows
+
+
+def attach_impls(types: DataFrame, impls: DataFrame) -> DataFrame:
+    """Types with the traits and unsafe blocks of the impl blocks of their own file; a block without a type gives a
+    stub row with visibility ``<orphan-impl>``."""
+    j = _impl_targets(types, impls)
     g = j.groupBy("target").agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("impl_trait").isNotNull(), F.struct("ord", "impl_trait")))), lambda s: s["impl_trait"]).alias("more"), F.sum("unsafe_blocks").cast("int").alias("blocks"), F.min(F.struct("crate", "language", "_file", "module", "module_id", "type_name")).alias("stub"), F.max(F.col("full_path").isNotNull()).alias("known"))
     out = types.join(g.where("known"), F.col("full_path") == F.col("target"), "left").withColumn("trait_impls", F.concat("trait_impls", F.coalesce("more", F.array().cast("array<string>")))).withColumn("unsafe_blocks", F.col("unsafe_blocks") + F.coalesce("blocks", F.lit(0)))
     out = out.select(types.columns)
@@ -201,7 +235,8 @@ def extract(spark: SparkSession, root: str, language: str | None = None) -> Fact
         raise ValueError(f"no package found below {root}")
     rows = freeze(scan(files, packages, language), "entities")
     types = freeze(attach_impls(_of(rows, "type", TYPE), _of(rows, "impl", IMPL)).drop("seq"), "types")
-    functions = freeze(_of(rows, "fn", FN).drop("seq"), "functions")
+    owners = freeze(impl_owners(_of(rows, "type", TYPE), _of(rows, "impl", IMPL)), "impl_owners")
+    functions = freeze(with_owners(_of(rows, "fn", FN), owners, ["owner"]).drop("seq"), "functions")
     modules = _of(rows, "module", MODULE).groupBy("crate", "language", "module", "module_id").agg(F.min("file").alias("file"))
     rust_t, rust_f = types.where("language = 'rust'"), functions.where("language = 'rust'")
     known = R.registry(rust_t)
@@ -211,6 +246,6 @@ def extract(spark: SparkSession, root: str, language: str | None = None) -> Fact
     exports = _of(rows, "export", EXPORT).withColumn("export_id", F.xxhash64("_file", "ord")).drop("seq")
     fns = rust_f.where("owner_kind = 'module'").select("name", F.concat_ws("::", "owner", "name").alias("path"), "ord")
     exports = R.resolve_reexports(exports, rust_t.select("name", "full_path", "kind", "ord"), fns)
-    sites = _of(rows, "call", CALL)
+    sites = with_owners(_of(rows, "call", CALL), owners, ["owner_type", "self_type"], "caller")
     calls = _rust_calls(sites.where("language = 'rust'"), rust_t, rust_f).unionByName(_ts_calls(sites.where("language = 'typescript'"), types.where("language = 'typescript'"), functions.where("language = 'typescript'")))
     return Facts(modules, types, functions, exports, edges, calls)

@@ -13,10 +13,11 @@ from factloom.operators.snapshots import numstat, parse_unified
 
 @dataclass(frozen=True)
 class RevSpec:
-    """``base`` and ``head``; no head is the working tree, no base means no comparison."""
+    """``base`` and ``head``; no head is the working tree. ``compare`` says that two sides were named, be one empty."""
 
     base: str | None
     head: str | None
+    compare: bool = False
 
 
 def parse_revspec(text: str) -> RevSpec:
@@ -25,7 +26,7 @@ def parse_revspec(text: str) -> RevSpec:
     if ".." not in text:
         return RevSpec(None, text or None)
     a, b = text.split("..", 1)
-    return RevSpec(a or None, b or None)
+    return RevSpec(a or None, b or None, True)
 
 
 def _git(repo: str, *args: str) -> str:

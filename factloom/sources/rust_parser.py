@@ -396,6 +396,13 @@ class RustFile:
                         j += 2
                     else:
                         break
+                if j + 1 < len(toks) and toks[j].text == "!" and (toks[j + 1].text in ("(", "[", "{") or path == ["macro_rules"]):
+                    c = Cursor(toks[j + 1 :])  # what stands inside a macro call is no code yet
+                    if path == ["macro_rules"]:
+                        c.next()
+                    c.group()
+                    i = j + 1 + c.i
+                    continue
                 if j < len(toks) and toks[j].text == "(" and (path[-1][0].islower() or path[-1][0] == "_"):
                     if not (len(path) == 1 and path[0] in bound):
                         kind = "associated_function" if len(path) > 1 and (path[-2][0].isupper()) else "function"

@@ -98,11 +98,21 @@ def test_forest(spark):
 
 
 def test_reexports(spark):
-    t = spark.createDataFrame([("Foo", "c::vm::middle::Foo", "struct", 0), ("Foo", "c::vm::wasm::Foo", "enum", 1)], "name string, full_path string, kind string, ord int")
-    f = spark.createDataFrame([("go", "c::go", 0)], "name string, path string, ord int")
-    e = spark.createDataFrame([(1, "vm::wasm::Foo", "c::outer"), (2, "crate::vm::wasm::Foo", "c"), (3, "Foo", "z"), (4, "a::go", "c")], "export_id int, hint string, module_id string")
+    """Modules of the hint decide, then modules of the exporter, then the order of paths; types hide functions."""
+    types = [("Lamp", "k::hall::east::Lamp", "struct", 3), ("Lamp", "k::hall::west::Lamp", "enum", 1), ("Lamp", "k::yard::Lamp", "union", 0), ("Door", "k::yard::Door", "trait", 2)]
+    t = spark.createDataFrame(types, "name string, full_path string, kind string, ord int")
+    f = spark.createDataFrame([("ring", "k::yard::ring", 0), ("Door", "k::hall::Door", 1)], "name string, path string, ord int")
+    cases = {
+        "east::Lamp": ("q", "k::hall::east::Lamp", "struct"),
+        "self::hall::west::Lamp": ("q", "k::hall::west::Lamp", "enum"),
+        "Lamp": ("q::yard", "k::yard::Lamp", "union"),
+        "super::Lamp": ("q::none", "k::hall::east::Lamp", "struct"),
+        "hall::Door": ("q", "k::yard::Door", "trait"),
+        "deep::ring": ("q", "k::yard::ring", None),
+    }
+    e = spark.createDataFrame([(h, h, m) for h, (m, _, _) in cases.items()], "export_id string, hint string, module_id string")
     got = {r.export_id: (r.target, r.target_kind) for r in resolve.resolve_reexports(e, t, f).collect()}
-    assert got == {1: ("c::vm::wasm::Foo", "enum"), 2: ("c::vm::wasm::Foo", "enum"), 3: ("c::vm::middle::Foo", "struct"), 4: ("c::go", "function")}
+    assert got == {h: (p, k) for h, (_, p, k) in cases.items()}
 
 
 def test_field_edges(spark):
@@ -219,7 +229,7 @@ def test_facts_json(spark, tmp_path):
 def test_git(spark, tmp_path):
     from factloom.sources import git
 
-    assert [git.parse_revspec(x) for x in ("", "m", "a..b", "a..", "..b")] == [git.RevSpec(None, None), git.RevSpec(None, "m"), git.RevSpec("a", "b"), git.RevSpec("a", None), git.RevSpec(None, "b")]
+    assert [git.parse_revspec(x) for x in ("", "m", "a..b", "a..", "..b")] == [git.RevSpec(None, None), git.RevSpec(None, "m"), git.RevSpec("a", "b", True), git.RevSpec("a", None, True), git.RevSpec(None, "b", True)]
     repo = tmp_path / "r"
     repo.mkdir()
     run = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=t", "-c", "user.email=t@e.x", *a], check=True, capture_output=True)
@@ -298,3 +308,19 @@ def test_rules_at_their_edges(spark):
     assert {r.probe: (r.element_id, r.how) for r in found.collect()} == {1: ("m", "module"), 2: ("e", "previous")}
     boxes = spark.createDataFrame([("a", 400.0, 300.0), ("b", 400.0, 100.0)], "box string, width double, header double")
     assert {r.box: r.long for r in layout.long_rows(boxes).collect()} == {"a": False, "b": True}
+
+
+def test_the_empty_path(spark):
+    rows = spark.createDataFrame([("", "a"), ("", ""), ("a::b", "a::c"), ("a", "")], "a string, b string")
+    assert [r[0] for r in rows.select(P.tree_distance("a", "b")).collect()] == [1, 0, 2, 1]
+    items = spark.createDataFrame([("i", "a::b")], "item string, home string")
+    owners = spark.createDataFrame([("i", "o1", "a::x"), ("i", "o2", "z")], "item string, owner string, owner_module string")
+    got = drift.drift_cli(items, owners).collect()[0]
+    assert (got.lca, got.drift, got.severity) == ("", "sideways", 2)
+
+
+def test_a_request_without_a_way(spark):
+    req = spark.createDataFrame([("l", 1, 0.0, 0.0, 10.0, 0.0)], "layout string, request long, x0 double, y0 double, x1 double, y1 double")
+    ring = spark.createDataFrame([("l", 8.0, -4.0, 9.0, 4.0), ("l", 11.0, -4.0, 12.0, 4.0), ("l", 7.0, -5.0, 13.0, -2.0), ("l", 7.0, 2.0, 13.0, 5.0)], "layout string, x0 double, y0 double, x1 double, y1 double")
+    with pytest.raises(Exception, match="no way for request 1"):
+        layout.routes(req, ring).collect()

@@ -160,3 +160,49 @@ def test_tree_calls(facts):
 def test_tree_exports(facts):
     got = {(r.exposed_name, r.target, r.target_kind) for r in facts.exports.collect()}
     assert got == {("Piston", "c::parts::Piston", "struct"), ("Lid", "c::parts::Valve", "struct")}
+
+
+DEEP = """
+pub struct A;
+pub fn y() -> i32 { 1 }
+pub fn z(v: i32) -> bool {
+    if !(y() > 0) && v != y() { println!("{}", hidden()); }
+    let w = vec![hidden(); 2];
+    std::debug_assert!(hidden() > 0);
+    macro_rules! inner { () => { hidden() } }
+    last()
+}
+fn hidden() -> i32 { 2 }
+fn last() -> bool { true }
+mod m {
+    impl super::A {
+        pub fn x(&self) -> i32 { super::y(); self.q() }
+        fn q(&self) -> i32 { 0 }
+    }
+}
+"""
+
+
+def test_folders_below_src_and_owners_across_modules(spark, tmp_path):
+    from factloom.sources.extract import extract
+
+    tree = {
+        "w/Cargo.toml": '[lib]\nname = "wrong"\n[package]\nversion = "1"\nname = "deep"\n[[bin]]\nname = "bin"\n',
+        "w/src/lib.rs": DEEP,
+        "w/src/target/mod.rs": "pub struct T;",
+        "w/src/build/mod.rs": "pub struct B;",
+        "n/Cargo.toml": '[package]\nversion.workspace = true\n[lib]\nname = "wrong"\n',
+        "n/src/lib.rs": "pub struct N;",
+        "target/p/Cargo.toml": '[package]\nname = "gone"\n',
+        "target/p/src/lib.rs": "pub struct Gone;",
+        "w/src/tmp/q/Cargo.toml": '[package]\nname = "gone"\n',
+    }
+    for name, text in tree.items():
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+    facts = extract(spark, str(tmp_path))
+    assert {r.full_path for r in facts.types.collect()} == {"deep::A", "deep::target::T", "deep::build::B", "n::N"}
+    assert {(r.owner, r.name) for r in facts.functions.where("owner_kind = 'type'").collect()} == {("deep::A", "x"), ("deep::A", "q")}
+    calls = {(r.caller, r.callee) for r in facts.calls.collect()}
+    assert calls == {("deep::z", "deep::y"), ("deep::z", "deep::last"), ("deep::A::x", "deep::y"), ("deep::A::x", "deep::A::q")}
