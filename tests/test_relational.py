@@ -98,14 +98,14 @@ def test_forest(spark):
 
 
 def test_reexports(spark):
-    """Modules of the hint decide, then modules of the exporter, then the order of paths; types hide functions."""
+    """Modules of the hint decide, then those above the exporter, then the order of paths; types hide functions."""
     types = [("Lamp", "k::hall::east::Lamp", "struct", 3), ("Lamp", "k::hall::west::Lamp", "enum", 1), ("Lamp", "k::yard::Lamp", "union", 0), ("Door", "k::yard::Door", "trait", 2)]
     t = spark.createDataFrame(types, "name string, full_path string, kind string, ord int")
     f = spark.createDataFrame([("ring", "k::yard::ring", 0), ("Door", "k::hall::Door", 1)], "name string, path string, ord int")
     cases = {
         "east::Lamp": ("q", "k::hall::east::Lamp", "struct"),
         "self::hall::west::Lamp": ("q", "k::hall::west::Lamp", "enum"),
-        "Lamp": ("q::yard", "k::yard::Lamp", "union"),
+        "Lamp": ("q::yard::own", "k::yard::Lamp", "union"),
         "super::Lamp": ("q::none", "k::hall::east::Lamp", "struct"),
         "hall::Door": ("q", "k::yard::Door", "trait"),
         "deep::ring": ("q", "k::yard::ring", None),
