@@ -6,7 +6,7 @@ each document has one name. Two documents have the same name at the same level e
 
 Blocks travel once, in the distinct step, where copies meet before the shuffle. Back to the documents go names,
 over a 128-bit digest of the block; a digest that two different blocks share shows as two rows of the name table
-and makes that run join on the blocks themselves, so no name rests on a digest. Names are written out at every
+and makes that run write the blocks beside their rows and join on them, so no name rests on a digest. Names are written out at every
 level, so a lost executor cannot renumber them. Every join is against a written table with one row per key,
 which lets Spark split a hot key.
 
@@ -16,6 +16,8 @@ key repeats within it, one of its rows stays. A null key is larger than any othe
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,12 +46,13 @@ def _numbered(distinct: DataFrame, order: list[str], keep: list[str], name: str)
     return freeze(distinct.sortWithinPartitions(*order).select(*keep, F.monotonically_increasing_id().alias("name")), name)
 
 
-def name_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per input row: ``row``, ``key``, ``text_sha256`` and the identity (``level``, ``name``)."""
+def name_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK, digest: Callable[[Column], Column] = _digest) -> DataFrame:
+    """One row per input row: ``row``, ``key``, ``text_sha256`` and the identity (``level``, ``name``). ``digest`` gives
+    the fields ``d1`` and ``d2`` of a block."""
     norm = docs.select(F.col(key).alias("key"), normalised(text).alias("t"))
     cut = norm.select("key", F.sha2(F.col("t").cast("binary"), 256).alias("sha"), _blocks(F.col("t"), block).alias("b"))
-    rows = freeze(cut.select(F.monotonically_increasing_id().alias("row"), "key", "sha", F.transform("b", _digest).alias("digests")), "digests")
-    single = norm.select(F.explode(_blocks(F.col("t"), block)).alias("b")).select("b", _digest(F.col("b")).alias("d"))
+    rows = freeze(cut.select(F.monotonically_increasing_id().alias("row"), "key", "sha", F.transform("b", digest).alias("digests")), "digests")
+    single = norm.select(F.explode(_blocks(F.col("t"), block)).alias("b")).select("b", digest(F.col("b")).alias("d"))
     distinct = single.select("d.d1", "d.d2", "b").distinct()
     names = _numbered(distinct, ["b"], ["d1", "d2"], "names")
     at = rows.select("row", F.size("digests").alias("n"), F.posexplode("digests").alias("pos", "d")).select("row", "n", "pos", "d.d1", "d.d2")
@@ -57,7 +60,9 @@ def name_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", blo
         level = at.join(names.withColumnRenamed("d1", "e1").withColumnRenamed("d2", "e2"), (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
     else:
         names = _numbered(distinct, ["b"], ["b"], "names").withColumnRenamed("b", "own")
-        whole = freeze(norm.select(F.monotonically_increasing_id().alias("row"), _blocks(F.col("t"), block).alias("b")), "blocks")
+        # numbered anew: another reading of the input need not give the rows their old numbers
+        whole = freeze(cut.select(F.monotonically_increasing_id().alias("row"), "key", "sha", "b"), "blocks")
+        rows = whole.drop("b")
         level = whole.select("row", F.size("b").alias("n"), F.posexplode("b").alias("pos", "b")).join(names, F.col("b") == F.col("own"))
     level = freeze(level.select("row", "n", "pos", "name"), "level")
     done = level.where("n = 1").select("row", F.lit(0).alias("level"), "name")

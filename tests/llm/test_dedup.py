@@ -30,7 +30,20 @@ def test_exact_duplicates(spark, block):
     rng = random.Random(1)
     rows = [(i, rng.choice([None, "", " ", "a  b", "a b", "ab" * 100, "ab" * 101, "ab" * 99 + "xa", "é😀" * 50])) for i in range(80)]
     rows += [*((1_000 + i, t) for i, t in awkward(1, 30)), (None, "a b"), (None, "only here"), (None, "only here")]
-    got = exactdup.exact_duplicates(frame(spark, rows), block=block).collect()
+    _held(exactdup.exact_duplicates(frame(spark, rows), block=block).collect(), rows)
+
+
+def test_blocks_that_share_a_digest(spark, monkeypatch):
+    """With a digest that only tells lengths apart, the blocks themselves are joined."""
+    weak = lambda b: F.struct(F.length(b).cast("long").alias("d1"), F.lit(0).cast("long").alias("d2"))
+    named = exactdup.name_documents
+    monkeypatch.setattr(exactdup, "name_documents", lambda *a: named(*a, digest=weak))
+    rng = random.Random(2)
+    rows = [(i, rng.choice([None, "", "ab", "ba", "abcdefgh", "abcdefgx", "abcdefghabcdefgx", "abcdefgxabcdefgh", "é😀" * 9])) for i in range(60)]
+    _held(exactdup.exact_duplicates(frame(spark, rows), block=8).collect(), rows)
+
+
+def _held(got, rows):
     show = lambda x: -1 if x is None else x
     assert sorted((show(r.doc_id), show(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in got) == _exact(rows)
 
