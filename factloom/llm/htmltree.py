@@ -369,16 +369,15 @@ def composed_pages(count: int = 240, seed: int = 7) -> list[str]:
     return out
 
 
-def train_model(pages: DataFrame | None = None, html_column: str = "html", sample: int = 120, composed: int = 240) -> TreeModel:
-    """Fit on ``composed`` template pages and at most ``sample`` pages of the table that mark exactly one article;
-    of those the first 200,000 characters are looked at."""
+def train_model(pages: DataFrame | None = None, html_column: str = "html", sample: int = 120, composed: int = 240, longest: int = 200_000) -> TreeModel:
+    """Fit on ``composed`` template pages and at most ``sample`` pages of the table that mark exactly one article
+    and hold at most ``longest`` characters, which bounds what comes to the driver; those pages are used whole."""
     gold: list[tuple[Page, np.ndarray]] = []
     for source in composed_pages(composed):
         page = parse(source)
         gold.append((page, np.array(page.mark)))
     if pages is not None:
-        source = F.substring(html_column, 1, 200_000)
-        marked = pages.where(F.col(html_column).rlike("(?i)<article[\\s>]")).select(source.alias("h")).withColumn("k", F.xxhash64("h"))
+        marked = pages.where(F.col(html_column).rlike("(?i)<article[\\s>]") & (F.length(html_column) <= longest)).select(F.col(html_column).alias("h")).withColumn("k", F.xxhash64("h"))
         # names first, so that no task sends texts it does not have to; copies of a page are one page
         names = [r.k for r in marked.select("k").distinct().orderBy("k").limit(sample).collect()]
         rows = marked.where(F.col("k").isin(names)).groupBy("k").agg(F.min("h").alias("h")).orderBy("k").collect() if names else []
