@@ -166,12 +166,13 @@ class LineField:
 
 
 def train_field(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 600, lines: int = 64) -> LineField:
-    """Fit on at most ``sample`` labelled documents, chosen by a hash of the key, and ``lines`` lines of each.
-    Features are made where the texts are; only they come to the driver."""
+    """Fit on at most ``sample`` labelled keys, chosen by a hash of the key, and ``lines`` lines of each of their
+    documents; of rows that repeat a key, the one with the least text. Features are made where the texts are; only they come to the driver."""
     ship(docs.sparkSession)
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("own")).agg(F.max(label).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("own"), "own").limit(sample)  # so few rows may be sent to all
-    picked = docs.select(F.col(key).alias("own"), F.col(text).alias("text")).join(F.broadcast(chosen), "own").select("own", "text", "y")
+    picked = docs.select(F.col(key).alias("own"), F.col(text).alias("text")).join(F.broadcast(chosen), "own")
+    picked = picked.groupBy("own", "y").agg(F.min("text").alias("text")).select("own", "text", "y")  # one row per key: no more than the sample
     width = len(FEATURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +180,7 @@ def train_field(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
             rows = [np.array(measure(t.as_py())[1][:lines], float).reshape(-1, width) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array([r.ravel() for r in rows], pa.list_(pa.float64()))], names=["own", "y", "x"])
 
-    rows = picked.mapInArrow(run, "own long, y int, x array<double>").orderBy("own").limit(2 * sample).collect()
+    rows = picked.mapInArrow(run, "own long, y int, x array<double>").orderBy("own").collect()
     return LineField.train([(np.array(r.x).reshape(-1, width), int(r.y > 0)) for r in rows if r.x])
 
 

@@ -266,3 +266,13 @@ def test_extraction(spark, model):
     want = "Big & small\n\nFirst line goes on.\n\nSecond one <ok> é.\n\nThird is the last of all the paragraphs here."
     assert got == [(0, "", 0), (1, want, len(want)), (1, want, len(want)), (2, "", 0), (3, "", 0), (4, "", 0)]
     assert htmltree.extract(df.limit(0), model).count() == 0
+
+
+def test_training_takes_one_row_per_key(spark):
+    from factloom.llm import quality
+
+    rows = [(i, f"The {i} lines of this text are plain words.\nAnd more of them follow here." if i % 2 else "menu | home | login\n$$ % # |") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    once = quality.train_field(frame(spark, rows), labels)
+    more = quality.train_field(frame(spark, rows + rows[:7] * 5 + [(1, "zz later text")]), labels)
+    assert (once.emit == more.emit).all() and (once.move == more.move).all()
