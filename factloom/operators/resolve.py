@@ -13,14 +13,33 @@ def registry(types: DataFrame) -> DataFrame:
     return types.groupBy("name", F.col("full_path").alias("path")).agg(F.min("ord").alias("ord"))
 
 
+def _prefixes(path: Column | str) -> Column:
+    """(n, prefix) for every leading part of a path, the empty one first; null has just that."""
+    s = P.segments(path)
+    parts = F.transform(F.sequence(F.lit(1), F.size(s)), lambda i: F.struct(i.alias("n"), P.joined(F.slice(s, F.lit(1), i)).alias("prefix")))
+    none = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("prefix")))
+    return F.when(F.col(path).isNull() if isinstance(path, str) else path.isNull(), none).otherwise(F.concat(none, parts))
+
+
+def _nearest(keys: DataFrame, known: DataFrame) -> DataFrame:
+    """``keys`` (``_name``, ``_at``, one row each) with ``target``: of the paths of that name those whose module shares
+    the longest prefix with ``_at``. Only equal prefixes meet, so a name with many paths costs its ties, not all of them."""
+    reg = known.select(F.col("name").alias("_k"), F.col("path").alias("target"), F.explode(_prefixes(P.module_of("path"))).alias("_p")).select("_k", "target", F.col("_p.n").alias("_pn"), F.col("_p.prefix").alias("_pp"))
+    heads = reg.select("_k", "_pn", "_pp").distinct()
+    same = (F.col("_name") == F.col("_k")) & (F.col("_n") == F.col("_pn")) & (F.col("_prefix") == F.col("_pp"))
+    wanted = keys.select("_name", "_at", F.explode(_prefixes("_at")).alias("_p")).select("_name", "_at", F.col("_p.n").alias("_n"), F.col("_p.prefix").alias("_prefix"))
+    best = wanted.join(heads, same, "left_semi").groupBy("_name", "_at").agg(F.max(F.struct("_n", "_prefix")).alias("_b"))
+    best = best.select("_name", "_at", F.col("_b._n").alias("_n"), F.col("_b._prefix").alias("_prefix"))
+    return best.join(reg, same).select("_name", "_at", "target")
+
+
 def resolve_types(refs: DataFrame, known: DataFrame) -> DataFrame:
     """References (``ref_id``, ``source``, ``name``, …) with ``target``: one candidate is taken as it is, of several
-    all those whose module shares the longest prefix with the source stay (all, if none shares any)."""
-    c = refs.join(known.select(F.col("name").alias("k"), "path"), F.col("name") == F.col("k"))
-    own = Window.partitionBy("ref_id")
-    score = P.common_prefix_length(P.segments("source"), P.segments(P.module_of("path")))
-    c = c.withColumn("score", score).withColumn("best", F.max("score").over(own))
-    return c.where("score = best").select(*refs.columns, F.col("path").alias("target"))
+    all those whose module shares the longest prefix with the source stay (all, if none shares any). A name is
+    resolved once for each source; references without a name or a source have no target."""
+    keys = refs.where("source is not null").select(F.col("name").alias("_name"), F.col("source").alias("_at")).distinct()
+    found = _nearest(keys, known)
+    return refs.join(found, (F.col("name") == F.col("_name")) & (F.col("source") == F.col("_at"))).select(*refs.columns, "target")
 
 
 def resolve_reexports(exports: DataFrame, types: DataFrame, functions: DataFrame) -> DataFrame:
@@ -50,16 +69,19 @@ def resolve_reexports(exports: DataFrame, types: DataFrame, functions: DataFrame
 def candidate_ladder(calls: DataFrame, candidates: DataFrame, name: Column | None = None) -> DataFrame:
     """Calls (``call_id``, ``path`` as written, ``module_id``) against candidates (``name``, ``target``): those that end
     in the written path; else those of the longest common module prefix; else all. Resolution says how sure it is."""
-    c = calls.join(candidates.select(F.col("name").alias("_n"), "target"), P.leaf_of("path") == F.col("_n"))
-    written = P.segments("path")
-    suffix = P.common_suffix_length(written, P.segments("target")) == F.size(written)
-    own = Window.partitionBy("call_id")
-    c = c.withColumn("suffix", F.when(suffix, 1).otherwise(0)).withColumn("prefix", P.common_prefix_length(P.segments("module_id"), P.segments(P.module_of("target"))))
-    c = c.withColumn("any_suffix", F.max("suffix").over(own)).withColumn("best", F.max("prefix").over(own))
-    stay = F.when(F.col("any_suffix") == 1, F.col("suffix") == 1).when(F.col("best") > 0, F.col("prefix") == F.col("best")).otherwise(True)
-    c = c.where(stay).withColumn("n", F.count("*").over(own))
-    label = F.when(F.col("n") > 1, "ambiguous").when(F.col("any_suffix") == 1, "exact").otherwise("heuristic")
-    return c.select(*calls.columns, "target", label.alias("resolution"))
+    keys = calls.select(F.col("path").alias("_path"), F.col("module_id").alias("_at")).distinct().withColumn("_name", P.leaf_of("_path"))
+    s = P.segments("target")
+    ends = candidates.select(F.col("name").alias("_k"), "target", F.explode(F.transform(F.sequence(F.lit(1), F.size(s)), lambda i: P.joined(F.slice(s, i, F.size(s))))).alias("_end"))
+    exact = keys.join(ends, (F.col("_name") == F.col("_k")) & (F.col("_path") == F.col("_end"))).select("_path", "_at", "target", F.lit("exact").alias("_sure"))
+    met = exact.select(F.col("_path").alias("_mp"), F.col("_at").alias("_ma")).distinct()
+    rest = keys.join(met, (F.col("_path") == F.col("_mp")) & F.col("_at").eqNullSafe(F.col("_ma")), "left_anti")
+    near = _nearest(rest.select("_name", "_at").distinct(), candidates.select("name", F.col("target").alias("path")))
+    near = near.withColumnsRenamed({"_name": "_nn", "_at": "_na"})
+    near = rest.join(near, (F.col("_name") == F.col("_nn")) & F.col("_at").eqNullSafe(F.col("_na"))).select("_path", "_at", "target", F.lit("heuristic").alias("_sure"))
+    found = exact.unionByName(near).withColumn("_ties", F.count("*").over(Window.partitionBy("_path", "_at")))
+    label = F.when(F.col("_ties") > 1, "ambiguous").otherwise(F.col("_sure"))
+    found = found.select("_path", "_at", "target", label.alias("resolution"))
+    return calls.join(found, (F.col("path") == F.col("_path")) & F.col("module_id").eqNullSafe(F.col("_at"))).select(*calls.columns, "target", "resolution")
 
 
 def resolve_unique(refs: DataFrame, known: DataFrame) -> DataFrame:

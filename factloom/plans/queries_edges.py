@@ -163,15 +163,16 @@ def tk3(spark: SparkSession, d: str) -> DataFrame:
     return _drift(spark, d).where("drift not in ('no_owners', 'at_lca')").select("item", "drift", "severity", F.row_number().over(w).cast("long").alias("place"))
 
 
-_REFS = "SELECT l_orderkey * 10 + l_linenumber AS ref_id, p_brand || '::' || p_type || '::user' AS source, p_name AS name FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_quantity = 50"
+# a line number may occur twice in an order, so the part belongs to the id of a reference
+_REFS = "SELECT DISTINCT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS ref_id, p_brand || '::' || p_type || '::user' AS source, p_name AS name FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"
 _LCP = "len(list_filter(range(1, 3), lambda i: string_split({a}, '::')[1:i] = string_split({b}, '::')[1:i] AND i <= least(len(string_split({a}, '::')), len(string_split({b}, '::')))))"
 
 
 def _refs(spark: SparkSession, d: str) -> DataFrame:
-    li, p = read(spark, d, "lineitem").where("l_quantity = 50"), read(spark, d, "part")
+    li, p = read(spark, d, "lineitem"), read(spark, d, "part")
     j = li.join(p, F.col("l_partkey") == F.col("p_partkey"))
     # the brand decides the source module, one type further on
-    return j.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref_id"), F.concat_ws("::", "p_brand", "p_type", F.lit("user")).alias("source"), F.col("p_name").alias("name"))
+    return j.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("ref_id"), F.concat_ws("::", "p_brand", "p_type", F.lit("user")).alias("source"), F.col("p_name").alias("name")).distinct()
 
 
 @query("jn1_resolve_types", "WITH r AS (" + _REFS + "), c AS (SELECT r.ref_id, t.full_path AS target, " + _LCP.replace("{a}", "r.source").replace("{b}", "t.module_id") + " AS score FROM r JOIN (SELECT DISTINCT full_path, name, module_id FROM {part_types}) t ON r.name = t.name) SELECT ref_id, count(*) AS n, min(target) AS first, max(target) AS last FROM (SELECT ref_id, target, score, max(score) OVER (PARTITION BY ref_id) AS best FROM c) x WHERE score = best GROUP BY ref_id")
