@@ -10,6 +10,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,13 +30,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 def freeze(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there, and a lost executor
-    costs a re-read instead of a recomputation."""
+    costs a re-read instead of a recomputation. The shuffle files of the write go with it; nothing reads them later."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(frozen: DataFrame) -> None:
+    """Remove the table that ``freeze`` wrote for this DataFrame. No later plan may read it."""
+    spark = frozen.sparkSession
+    files = frozen.inputFiles()
+    if not files:
+        return
+    folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    if f"{shared_dir(spark).rpartition('//')[2]}/tables/" in folder.toString():
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python workers import the same code."""
     app = spark.sparkContext.applicationId
