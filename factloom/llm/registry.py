@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factloom.llm.exactdup import ORACLE as _EXACT
+from factloom.llm.hardneg import ORACLE as _HARD
+from factloom.llm.vectorcodes import ORACLE as _CODES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,5 +80,24 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, train_field(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pieces": op1_pieces, "op2_token_file": op2_token_file, "op3_packing": op3_packing, "op4_pii": op4_pii, "op5_near_duplicates": op5_near_duplicates, "op6_exact_duplicates": op6_exact_duplicates, "op7_secrets": op7_secrets, "op8_quality": op8_quality, "op9_html": op9_html, "op10_token_counts": op10_token_counts}
-ORACLES: dict[str, str] = {"op6_exact_duplicates": _EXACT}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.hardneg import mine
+
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"))
+    return mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.vectorcodes import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.suffixdup import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents"), content=False)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pieces": op1_pieces, "op2_token_file": op2_token_file, "op3_packing": op3_packing, "op4_pii": op4_pii, "op5_near_duplicates": op5_near_duplicates, "op6_exact_duplicates": op6_exact_duplicates, "op7_secrets": op7_secrets, "op8_quality": op8_quality, "op9_html": op9_html, "op10_token_counts": op10_token_counts, "op11_hard_negatives": op11_hard_negatives, "op12_vector_codes": op12_vector_codes, "op13_repeated_passages": op13_repeated_passages}
+ORACLES: dict[str, str] = {"op6_exact_duplicates": _EXACT, "op11_hard_negatives": _HARD, "op12_vector_codes": _CODES}
