@@ -24,11 +24,72 @@ def reachable(edges: DataFrame, limit: int = 200) -> DataFrame:
     raise RuntimeError("closure did not settle")
 
 
+def _one_bits(rows: DataFrame, by: str, number: str) -> DataFrame:
+    """Bitmaps of the numbers of each group, one per block of 32,768 numbers."""
+    return rows.groupBy(by, F.bitmap_bucket_number(number).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
+
+
+def reachable_bitmaps(edges: DataFrame, nodes: DataFrame | None = None, merge_every: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Reachable sets without their pairs: ``node``, ``scc``, ``number`` of every node, and ``scc``, ``block``, ``bits``.
+
+    A set holds the numbers of the nodes that a component reaches, its own nodes among them, as bitmaps of 32,768
+    numbers each. Strong components are made one node; then, from the sinks up, a component's set is the union of its
+    own and its successors' sets. Each set is made once, after those it needs, and unions are pre-aggregated, so the
+    bitmaps that an edge moves never leave their task one by one. Nothing is kept but one bit for a pair, in blocks that hold one."""
+    every = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
+    every = every.union(nodes.select("node")) if nodes is not None else every
+    every = freeze(every.where("node is not null").distinct(), "nodes")
+    scc = strong_components(edges.where("src is not null and dst is not null"))
+    # in order of their components, so that sets that share members share blocks
+    placed = every.join(scc, "node", "left").withColumn("scc", F.coalesce("scc", "node"))
+    numbered = freeze(placed.sort("scc", "node").withColumn("number", F.monotonically_increasing_id()), "numbered")
+    a, b = (numbered.select(F.col("node").alias(n), F.col("scc").alias(c)) for n, c in (("_a", "up"), ("_b", "down")))
+    links = freeze(edges.join(a, F.col("src") == F.col("_a")).join(b, F.col("dst") == F.col("_b")).where("up <> down").select("up", "down").distinct(), "component_links")
+    tops = numbered.select(F.col("scc").alias("node")).distinct()
+    height = freeze(longest_depth(links.select(F.col("down").alias("src"), F.col("up").alias("dst")), tops).withColumnRenamed("node", "of"), "height")
+    links = freeze(links.join(height, F.col("up") == F.col("of")).select("up", "down", "depth"), "links_by_height")
+    own = freeze(_one_bits(numbered, "scc", "number").join(height, F.col("scc") == F.col("of")).select("scc", "block", "bits", "depth"), "own_bits")
+    done = [own.where("depth = 0").drop("depth")]
+    for level in range(1, (height.agg(F.max("depth")).first()[0] or 0) + 1):
+        below = done[0]
+        for more in done[1:]:
+            below = below.union(more)
+        moved = links.where(F.col("depth") == level).join(below.withColumnRenamed("scc", "down"), "down").select(F.col("up").alias("scc"), "block", "bits")
+        grown = moved.union(own.where(F.col("depth") == level).drop("depth")).groupBy("scc", "block").agg(F.bitmap_or_agg("bits").alias("bits"))
+        done.append(freeze(grown, "reached_bits"))
+        if len(done) > merge_every:  # keeps the plan of a deep graph short
+            merged = done[0]
+            for more in done[1:]:
+                merged = merged.union(more)
+            done = [freeze(merged, "reached_bits")]
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
+    return numbered, out
+
+
 def closure_size(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Distinct nodes that each node reaches, itself left out."""
-    n = reachable(edges).where("src <> dst").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("size"))
-    every = nodes if nodes is not None else edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    return every.join(n, "node", "left").select("node", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+    numbered, sets = reachable_bitmaps(edges, nodes)
+    size = sets.groupBy(F.col("scc").alias("_s")).agg((F.sum(F.bitmap_count("bits")) - 1).alias("size"))
+    return numbered.join(size, F.col("scc") == F.col("_s")).select("node", F.col("size").cast("long").alias("size"))
+
+
+def reaches(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """``pairs`` (src, dst) with ``reached``: whether a path leads from one node to another one, or to itself by a cycle."""
+    numbered, sets = reachable_bitmaps(edges)
+    n = numbered.select(F.col("node").alias("_n"), F.col("scc").alias("_c"), "number")
+    members = numbered.groupBy("scc").agg(F.count("*").alias("members"))
+    loops = edges.where("src = dst").select(F.col("src").alias("_l")).distinct()
+    p = pairs.join(n.select(F.col("_n").alias("src"), F.col("_c").alias("scc")), "src", "left").join(members, "scc", "left").join(loops, F.col("src") == F.col("_l"), "left")
+    p = p.join(n.select(F.col("_n").alias("dst"), "number"), "dst", "left").withColumn("block", F.bitmap_bucket_number("number"))
+    place = F.bitmap_bit_position("number")
+    j = p.join(sets, ["scc", "block"], "left")
+    octet = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
+    bit = F.expr("shiftright(octet, cast(place % 8 as int)) & 1 = 1")
+    j = j.withColumn("octet", octet).withColumn("place", place)
+    own = F.when(F.col("src") == F.col("dst"), F.col("_l").isNotNull() | (F.col("members") > 1)).otherwise(bit)
+    return j.select("src", "dst", F.coalesce(own, F.lit(False)).alias("reached"))
 
 
 def _spread(start: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
@@ -44,14 +105,32 @@ def _spread(start: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
     raise RuntimeError("spreading did not settle")
 
 
+def _trimmed(edges: DataFrame, rounds: int = 40) -> tuple[DataFrame, DataFrame]:
+    """Edges and nodes that are left when nodes without an edge in or out are taken away again and again; at most
+    ``rounds`` times, since the rest is right with or without them."""
+    size = edges.count()
+    for _ in range(rounds):
+        left = freeze(edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")), "node", "left_semi"), "two_sided")
+        inner = left.withColumnRenamed("node", "_n")
+        kept = freeze(edges.join(inner, F.col("src") == F.col("_n"), "left_semi").join(inner, F.col("dst") == F.col("_n"), "left_semi"), "trimmed")
+        now = kept.count()
+        if now in (0, size):
+            return kept, left if now else left.limit(0)
+        edges, size = kept, now
+    return edges, edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+
+
 def strong_components(edges: DataFrame, limit: int = 200) -> DataFrame:
     """``node``, ``scc``: the least node of its strongly connected component.
 
-    Colouring: the least node that reaches a node is its colour; the nodes of a colour that lead back to it form
-    its component and leave the graph. Data per round stays linear in the graph."""
-    e = freeze(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
-    left = freeze(edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct(), "nodes")
-    done = None
+    Nodes without an edge in or out are components by themselves and go first, round by round; what an acyclic graph
+    consists of goes that way. Then colouring: the least node that reaches a node is its colour; the nodes of a colour
+    that lead back to it form its component and leave the graph. Data per round stays linear in the graph."""
+    every = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
+    e, left = _trimmed(freeze(edges.where("src <> dst").select("src", "dst").distinct(), "edges"))
+    done = every.join(left, "node", "left_anti").select("node", F.col("node").alias("scc"))
+    if left.isEmpty():
+        return done
     for _ in range(limit):
         color = _spread(left.select("node", F.col("node").alias("value")), e, limit).withColumnRenamed("value", "color")
         a = color.select(F.col("node").alias("s"), F.col("color").alias("cs"))
@@ -67,7 +146,7 @@ def strong_components(edges: DataFrame, limit: int = 200) -> DataFrame:
                 break
             hit = freeze(hit.union(seen), "hit")
         found = hit.select("node", F.col("value").alias("scc"))
-        done = found if done is None else done.union(found)
+        done = done.union(found)
         left = freeze(left.join(hit.select("node"), "node", "left_anti"), "left")
         if left.isEmpty():
             return done

@@ -31,7 +31,26 @@ PROJECTIONS: dict[str, str] = {
                'field f' || CAST(l_linenumber AS VARCHAR(10)) AS origin, l_orderkey * 10 + l_linenumber AS ord, sp.place AS from_module, cp.place || '::' || c_mktsegment AS to_module
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {supplier} ON l_suppkey = s_suppkey JOIN {customer} ON o_custkey = c_custkey
         JOIN {places} sp ON s_nationkey = sp.n_nationkey JOIN {places} cp ON c_nationkey = cp.n_nationkey""",
-    "dag": "SELECT a.p_partkey AS src, b.p_partkey AS dst FROM {part} a JOIN {part} b ON a.p_brand = b.p_brand AND a.p_size < b.p_size AND b.p_partkey - a.p_partkey > 0 AND b.p_partkey - a.p_partkey <= 100",
+    "members": """
+        SELECT place || '::' || s_name AS type_path, 'f' || CAST(l_linenumber AS VARCHAR(10)) AS name, CAST(l_orderkey AS BIGINT) AS ord,
+               CASE l_linenumber % 7 WHEN 0 THEN 'owned' WHEN 1 THEN 'borrow_immut' WHEN 2 THEN 'borrow_mut' WHEN 3 THEN 'indirection' WHEN 4 THEN 'primitive' WHEN 5 THEN 'other' ELSE 'owned' END AS ownership
+        FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {places} ON s_nationkey = n_nationkey""",
+    "fns": """
+        SELECT 'type' AS owner_kind, r_name AS crate, place || '::' || c_mktsegment || '::' || c_name AS owner, 'm' || CAST(o_orderkey AS VARCHAR(10)) AS name,
+               CASE o_orderkey % 5 WHEN 0 THEN 'pub' WHEN 1 THEN 'pub(crate)' WHEN 2 THEN 'pub(super)' WHEN 3 THEN 'priv' ELSE '<trait>' END AS visibility,
+               CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'none' WHEN '2' THEN 'by_value' WHEN '3' THEN 'ref_mut' ELSE 'ref' END AS self_kind,
+               o_orderstatus = 'F' AS is_unsafe, o_totalprice > 200000 AS lifetime_flows_through, CAST(o_orderkey % 3 AS INT) AS unsafe_blocks
+        FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {places} ON c_nationkey = n_nationkey
+        UNION ALL
+        SELECT 'module', r_name, place, 'p' || CAST(p_partkey AS VARCHAR(10)), CASE p_size % 6 WHEN 0 THEN 'pub' WHEN 1 THEN 'pub(self)' WHEN 2 THEN 'pub(in a)' WHEN 3 THEN 'pub(crate)' WHEN 4 THEN 'priv' ELSE '<macro>' END, 'none', p_size > 45, p_retailprice > 1500, CAST(p_size % 2 AS INT)
+        FROM {part} JOIN {places} ON p_partkey % 25 = n_nationkey""",
+    "mods": """
+        SELECT place AS module_id, r_name AS crate, CAST(n_nationkey % 3 AS INT) AS unsafe_blocks FROM {places}
+        UNION ALL SELECT DISTINCT place || '::' || c_mktsegment, r_name, 0 FROM {customer} JOIN {places} ON c_nationkey = n_nationkey
+        UNION ALL SELECT 'w::' || r_name, r_name, 1 FROM {region}""",
+    "dag": """
+        SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+        JOIN {part} p ON a.l_partkey = p.p_partkey JOIN {part} q ON b.l_partkey = q.p_partkey WHERE floor((p.p_size - 1) / 5) < floor((q.p_size - 1) / 5)""",
     "modgraph": """
         SELECT DISTINCT sn.n_name AS src, cn.n_name AS dst FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {supplier} ON l_suppkey = s_suppkey JOIN {customer} ON o_custkey = c_custkey
         JOIN {nation} sn ON s_nationkey = sn.n_nationkey JOIN {nation} cn ON c_nationkey = cn.n_nationkey

@@ -41,14 +41,22 @@ class Facts:
     calls: DataFrame
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """All source and manifest files below ``root`` with their path relative to it. Pruned folders are filtered out,
-    for Rust sources those that no ``src`` folder lies above."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{rs,ts,tsx,toml,json}").load(root)
-    rel = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + _quoted(root.rstrip("/")) + "/", "")
-    rust = ~F.col("rel").rlike("^(?:(?!src/)[^/]+/)*(?:" + "|".join(map(_quoted, PRUNED_RUST)) + ")/")
-    other = ~F.arrays_overlap(F.split("rel", "/"), F.array(*map(F.lit, PRUNED)))
-    return df.withColumn("rel", rel).where(F.when(F.col("rel").rlike("\\.(rs|toml)$"), rust).otherwise(other)).select("rel", "modificationTime", "length", F.col("content").cast("string").alias("source"))
+def list_files(spark: SparkSession, root: str, contents: bool = True, only: list[str] | None = None, names: str = "*.{rs,ts,tsx,toml,json}") -> DataFrame:
+    """All source and manifest files below ``root``: ``rel``, the path relative to it, ``uri``, ``modificationTime``,
+    ``length`` and, with ``contents``, ``source``. Pruned folders are left out, for Rust sources those that no ``src``
+    folder lies above; ``only`` names the ``uri`` values to take. Both are told from a file's metadata, so Spark takes
+    other files out of its listing and never opens them."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(root)
+    uri = F.col("_metadata.file_path")
+    path = F.url_decode(F.regexp_replace(uri, "\\+", "%2B"))
+    rel = F.regexp_replace(F.regexp_replace(path, "^file:/+", "/"), "^" + _quoted(root.rstrip("/")) + "/", "")
+    rust = ~rel.rlike("^(?:(?!src/)[^/]+/)*(?:" + "|".join(map(_quoted, PRUNED_RUST)) + ")/")
+    other = ~F.arrays_overlap(F.split(rel, "/"), F.array(*map(F.lit, PRUNED)))
+    df = df.where(F.when(rel.rlike("\\.(rs|toml)$"), rust).otherwise(other))
+    if only is not None:
+        df = df.where(uri.isin(only))
+    cols = [rel.alias("rel"), uri.alias("uri"), "modificationTime", "length"]
+    return df.select(*cols, F.col("content").cast("string").alias("source")) if contents else df.select(*cols)
 
 
 def _quoted(s: str) -> str:
@@ -86,7 +94,7 @@ def ts_packages(files: DataFrame) -> DataFrame:
     return j.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("crate", "root", "src", F.lit("typescript").alias("language"))
 
 
-def _assigned(files: DataFrame, packages: DataFrame) -> DataFrame:
+def assigned(files: DataFrame, packages: DataFrame) -> DataFrame:
     """Each source with the innermost package of its language around it and its module path."""
     ext = F.when(F.col("rel").endswith(".rs"), "rust").when(F.col("rel").rlike("\\.tsx?$") & ~F.col("rel").contains(".d.ts"), "typescript")
     s = files.withColumn("language", ext).where("language is not null")
@@ -95,13 +103,13 @@ def _assigned(files: DataFrame, packages: DataFrame) -> DataFrame:
     w = Window.partitionBy("rel", "language").orderBy(F.desc(F.length("src")))
     j = j.withColumn("rn", F.row_number().over(w)).where("rn = 1")
     inner = F.when(F.col("src") == "", F.col("rel")).otherwise(F.expr("substring(rel, length(src) + 2)"))
-    return j.select("crate", "language", "rel", F.when(F.col("language") == "rust", P.rust_module_path(inner)).otherwise(P.ts_module_path(inner)).alias("module"), "source", F.col("modificationTime").cast("long").alias("mtime"), "length")
+    return j.select("crate", "language", "rel", F.when(F.col("language") == "rust", P.rust_module_path(inner)).otherwise(P.ts_module_path(inner)).alias("module"), "uri", "source", F.unix_micros("modificationTime").alias("mtime"), "length")
 
 
 def scan(files: DataFrame, packages: DataFrame, language: str | None = None) -> DataFrame:
     """``crate``, ``language``, ``file``, ``what``, ``ord``, ``json``: one row per entity of every source."""
     ship(files.sparkSession)
-    src = _assigned(files, packages)
+    src = assigned(files, packages)
     if language:
         src = src.where(F.col("language") == language)
 
@@ -225,15 +233,29 @@ def _ts_calls(sites: DataFrame, types: DataFrame, functions: DataFrame) -> DataF
     return out.select("caller", callee.alias("callee"), "kind", "resolution", "origin", "callsite_start_line", "callsite_end_line")
 
 
-def extract(spark: SparkSession, root: str, language: str | None = None) -> Facts:
-    """All facts of a source tree. Nothing found is an error, as is an unknown language."""
+def checked_language(language: str | None) -> str | None:
     if language not in (None, "rust", "typescript"):
         raise ValueError(f"unknown frontend {language!r}")
-    files = freeze(list_files(spark, root), "files")
+    return language
+
+
+def found_packages(files: DataFrame, root: str, language: str | None = None) -> DataFrame:
+    """The packages of the listed files; none of the wanted language is an error."""
     packages = freeze(rust_packages(files).unionByName(ts_packages(files)), "packages")
     if packages.where(F.lit(True) if language is None else F.col("language") == language).isEmpty():
         raise ValueError(f"no package found below {root}")
-    rows = freeze(scan(files, packages, language), "entities")
+    return packages
+
+
+def extract(spark: SparkSession, root: str, language: str | None = None) -> Facts:
+    """All facts of a source tree. Nothing found is an error, as is an unknown language."""
+    checked_language(language)
+    files = freeze(list_files(spark, root), "files")
+    return facts_of(freeze(scan(files, found_packages(files, root, language), language), "entities"))
+
+
+def facts_of(rows: DataFrame) -> Facts:
+    """The fact tables of parsed entities, names resolved over all of them."""
     types = freeze(attach_impls(_of(rows, "type", TYPE), _of(rows, "impl", IMPL)).drop("seq"), "types")
     owners = freeze(impl_owners(_of(rows, "type", TYPE), _of(rows, "impl", IMPL)), "impl_owners")
     functions = freeze(with_owners(_of(rows, "fn", FN), owners, ["owner"]).drop("seq"), "functions")

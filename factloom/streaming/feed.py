@@ -109,8 +109,10 @@ def merged_cache(cache: DataFrame, fresh: DataFrame, files: DataFrame) -> DataFr
 
 
 def workspace_signature(files: DataFrame) -> int:
-    """One number for a set of (path, mtime, length), whatever their order: a sum of row hashes, pre-aggregated."""
-    row = files.agg(F.sum(F.xxhash64("path", "mtime", "length").cast("decimal(38,0)")).alias("s"), F.count("*").alias("n")).first()
+    """One number for a set of files by path, time and length, and crate and module where they are known, whatever the
+    order: a sum of row hashes, pre-aggregated."""
+    cols = ["path", "mtime", "length", *(c for c in ("crate", "module") if c in files.columns)]
+    row = files.agg(F.sum(F.xxhash64(*cols).cast("decimal(38,0)")).alias("s"), F.count("*").alias("n")).first()
     return hash((int(row.s or 0), row.n))
 
 
