@@ -149,3 +149,60 @@ def canonical_members(members: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys)
     m = members.withColumn("_rn", F.row_number().over(w.orderBy(first.cast("int").desc(), "ord"))).withColumn("first_ord", F.min("ord").over(w))
     return m.where("_rn = 1").drop("_rn")
+
+
+#: Levels of a snapshot, the columns that name a row, its parent's columns, and whether equal keys pair by position.
+LEVELS = {
+    "packages": (["crate"], [], False),
+    "modules": (["crate", "module_id"], ["crate"], False),
+    "types": (["crate", "module_id", "full_path"], ["crate", "module_id"], True),
+    "fields": (["crate", "module_id", "full_path", "name"], ["crate", "module_id", "full_path"], False),
+    "functions": (["crate", "module_id", "owner", "name"], ["crate", "module_id"], True),
+}
+
+
+def merge_snapshots(base: dict[str, DataFrame], head: dict[str, DataFrame], hunks: bool = True) -> dict[str, DataFrame]:
+    """Two snapshots level by level: crates by name, modules by path, then their types, fields and functions.
+
+    Tables of levels below modules have ``ord`` and ``hit``, whether a hunk of their side touches the row; absent tables
+    are left out. A row is on both sides, on one, or modified; what is on one side takes all below it along, whatever
+    hunks say. Each level gives its keys, ``pos``, ``side`` and the rows ``base`` and ``head``. A type is on one side for its
+    fields if all variants of its path are."""
+    out: dict[str, DataFrame] = {}
+    for level, (keys, parent, by_position) in LEVELS.items():
+        if level not in base and level not in head:
+            continue
+        b, h = base.get(level, head.get(level)), head.get(level, base.get(level))
+        b, h = (b if level in base else b.limit(0)), (h if level in head else h.limit(0))
+        if not parent or level == "modules":  # no hunks at these levels, and one row per key
+            b, h = b.withColumn("hit", F.lit(False)), h.withColumn("hit", F.lit(False))
+            b, h = (x if "ord" in x.columns else x.withColumn("ord", F.lit(0)) for x in (b, h))
+        m = merge(b, h, keys, by_position)
+        given = hunks and parent and level != "modules"
+        side = side_of(F.col("base").isNotNull(), F.col("head").isNotNull(), F.coalesce("head.hit", F.lit(False)), F.coalesce("base.hit", F.lit(False)), bool(given))
+        m = m.withColumn("side", side)
+        if parent:
+            above = {1: "packages", 2: "modules", 3: "types"}[len(parent)]
+            if above in out:
+                up = out[above].groupBy(*parent).agg(F.min("side").alias("_lo"), F.max("side").alias("_hi"))
+                forced = up.where("_lo = _hi and _lo in ('base', 'head')").select(*(F.col(k).alias(f"_{k}") for k in parent), F.col("_lo").alias("_forced"))
+                on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in parent]
+                m = m.join(forced, on, "left").withColumn("side", F.coalesce("_forced", "side")).drop("_forced", *(f"_{k}" for k in parent))
+        out[level] = m.select(*keys, "pos", "side", "base", "head")
+    return out
+
+
+def merge_profiles(base: DataFrame, head: DataFrame, key: str) -> DataFrame:
+    """Per key the row of head, and that of base where head has none."""
+    return head.unionByName(base.join(head.select(key).distinct(), key, "left_anti"))
+
+
+def merge_nested(base: DataFrame, head: DataFrame, key: str = "crate", modules: str = "modules") -> DataFrame:
+    """The same for documents that hold a crate's modules as a map from path to a struct with ``side``: maps are merged
+    in place, key by key. ``key``, ``side`` and ``modules``; a module that both have is that of head."""
+    b, h = base.select(F.col(key).alias("_b"), F.col(modules).alias("_bm")), head.select(F.col(key).alias("_h"), F.col(modules).alias("_hm"))
+    side = F.when(F.col("_b").isNull(), "head").when(F.col("_h").isNull(), "base").otherwise("both")
+    one = lambda k, x, y: F.coalesce(y, x).withField("side", F.when(x.isNull(), "head").when(y.isNull(), "base").otherwise("both"))
+    empty = F.map_from_arrays(F.array(), F.array()).cast(base.schema[modules].dataType)
+    merged = F.map_zip_with(F.coalesce("_bm", empty), F.coalesce("_hm", empty), one)
+    return b.join(h, F.col("_b") == F.col("_h"), "full_outer").select(F.coalesce("_h", "_b").alias(key), side.alias("side"), merged.alias(modules))
