@@ -20,6 +20,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from factloom.session import ship
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>\x00]*)([^>]*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Any attribute with its value, quoted or not.
 _NAMED = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"[^\"]*\"?|'[^']*'?|[^\s>]+))?")
 _WORD = re.compile(r"[a-z]+")
@@ -86,6 +87,7 @@ def parse(source: str | None, marker: str = "data-main") -> Page:
     page = Page()
     source = source or ""
     stack: list[tuple[str, int, bool]] = []  # tag, block element around its text, unseen
+    opened: Counter[str] = Counter()  # tags in the stack
     run: list[str] = []
     run_of, in_link, link_chars = -1, 0, 0
 
@@ -133,6 +135,7 @@ def parse(source: str | None, marker: str = "data-main") -> Page:
         nonlocal in_link
         while len(stack) > k:
             t = stack.pop()[0]
+            opened[t] -= 1
             if t in _BLOCK:
                 flush()
             elif t == "a":
@@ -155,8 +158,9 @@ def parse(source: str | None, marker: str = "data-main") -> Page:
         if close:
             if tag == "br":
                 write(" ")
-            elif tag == "p" and not any(t == "p" for t, _, _ in stack):
-                flush()
+            elif not opened[tag]:  # nothing to look for, however deep the page is
+                if tag == "p":
+                    flush()
             else:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
@@ -182,7 +186,7 @@ def parse(source: str | None, marker: str = "data-main") -> Page:
             continue
         if tag in _CLOSES:
             ends, wall = _CLOSES[tag]
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if any(opened[t] for t in ends) else ():
                 if stack[k][0] in ends:
                     pop(k)
                     if tag not in ("tr", "tbody", "tfoot"):
@@ -190,7 +194,7 @@ def parse(source: str | None, marker: str = "data-main") -> Page:
                 elif stack[k][0] in wall:
                     break
         elif tag in _BLOCK and tag not in ("html", "body"):
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened["p"] else ():
                 if stack[k][0] == "p":
                     pop(k)
                     break
@@ -215,6 +219,7 @@ def parse(source: str | None, marker: str = "data-main") -> Page:
             if tag == "a":
                 in_link -= 1
             continue
+        opened[tag] += 1
         stack.append((tag, own, unseen or tag in _UNSEEN or tag in _BLOCK and _hidden(attrs)))
     pop(0)
     flush()

@@ -56,7 +56,7 @@ MORE = (
     Rule("code_host", "gh[opsru]_[A-Za-z0-9]{36,}"),
     Rule("chat", "xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("payment", "[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"),
-    Rule("web_token", "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}"),
+    Rule("web_token", "(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}"),
     Rule("login_url", "[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\\x00-\\x20/:@]{1,64}:[^\\x00-\\x20/@]{3,64}@"),
 )
 RULES = BASE + MORE

@@ -144,6 +144,7 @@ def _repeated(blocks: DataFrame, counted: DataFrame) -> DataFrame:
 def _open(counted: DataFrame) -> DataFrame:
     """One place for each identifier of the buckets that hold several, some of them not settled."""
     mixed = counted.groupBy("bucket").agg(F.count("*").alias("names"), F.bool_or((F.col("n") == 1) & ~F.col("settled")).alias("open")).where("names > 1 and open").select(F.col("bucket").alias("of"))
+    mixed = freeze(mixed, "open_buckets")  # a written side lets Spark split the rows of a bucket with very many names
     return counted.join(mixed, F.col("bucket") == F.col("of"), "left_semi").select("place.*", (F.col("settled") | (F.col("n") > 1)).alias("settled"))
 
 

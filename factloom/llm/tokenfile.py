@@ -8,7 +8,7 @@ look-up skips files and blocks without reading them. Blocks are written by Spark
 or a repeated task leaves each block once.
 
 Texts are encoded where they are read; ids, not texts, travel to their shard. Shard bounds come from a sample of
-about ``SAMPLE`` rows' keys, whatever the size of the input; they only balance shards. Rows that share a key are all kept, ordered by a hash of
+about ``SAMPLE`` rows' keys, or ``PER_SHARD`` for each shard where that is more; they only balance shards. Rows that share a key are all kept, ordered by a hash of
 their text and then by their place in the input, and may fall into several shards, so a hot key is no hot task.
 Null keys come first. Null and empty texts hold only the end id. A very long text is one block, however long. An
 empty table gives an empty file that reads back as no rows. Columns other than key and text are not read.
@@ -31,7 +31,7 @@ from factloom.llm.wordtokens import word_tokens
 from factloom.session import partitions_for, shared_dir, ship
 
 #: Rows whose keys set the shard bounds, at most; bytes of text in a shard, about.
-SAMPLE, SHARD_BYTES = 20_000, 64 << 20
+SAMPLE, PER_SHARD, SHARD_BYTES = 20_000, 4, 64 << 20
 BLOCK_IDS = 1 << 18
 
 
@@ -65,11 +65,17 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
 def _bounds(rows: DataFrame, floor: int) -> list[tuple]:
     """Upper bounds of all shards but the last, as (key is not null, key, hash, row)."""
     n = rows.count()  # from the files' footers
-    # a share by the hash of the place, not the first rows by it: those would be sent from every partition
-    sample = rows.where(F.pmod(F.xxhash64("row"), F.lit(1 << 40)) < min(1 << 40, (SAMPLE << 40) // max(1, n))).collect()
+
+    def taken(wanted: int) -> list:
+        # a share by the hash of the place, not the first rows by it: those would be sent from every partition
+        return rows.where(F.pmod(F.xxhash64("row"), F.lit(1 << 40)) < min(1 << 40, (wanted << 40) // max(1, n))).collect()
+
+    sample = taken(SAMPLE)
     if not sample:
         return []
     shards = max(floor, -(-sum(r.size for r in sample) * n // len(sample) // SHARD_BYTES))
+    if shards * PER_SHARD > SAMPLE:  # the bounds grow with the file, a few keys for each shard
+        sample = taken(shards * PER_SHARD)
     own = sorted((r.key is not None, r.key, r.h, r.row) if r.key is not None else (False, 0, r.h, r.row) for r in sample)
     return [own[i * len(own) // shards] for i in range(1, min(shards, len(own)))]
 
