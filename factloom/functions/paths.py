@@ -147,7 +147,7 @@ def is_real_visibility(text: Column | str) -> Column:
 
 def borrow_flavor(type_text: Column | str) -> Column:
     t = F.trim(_c(type_text))
-    return F.when(t.rlike("^\\*\\s*(const|mut)(\\s|$)"), "raw").when(t.rlike("^&\\s*('[^\\s>),]*\\s*)?mut(\\s|$)"), "mut").when(t.startswith("&"), "shared").otherwise("move")
+    return F.when(t.rlike("^\\*\\s*(const|mut)(\\s|$)"), "raw").when(t.rlike("^&\\s*('[^\\s>),]*+\\s*)?mut(\\s|$)"), "mut").when(t.startswith("&"), "shared").otherwise("move")
 
 
 def cardinality_rank(card: Column | str) -> Column:

@@ -116,3 +116,12 @@ def first_few(rows: DataFrame, by: str, order: str, limit: int) -> DataFrame:
     total = rows.groupBy(F.col(by).alias("_g")).agg(F.count("*").alias("_n"))
     top = rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("place") <= limit)
     return top.join(total, F.col(by) == F.col("_g")).select(*top.columns, F.greatest(F.col("_n") - limit, F.lit(0)).alias("more"))
+
+
+def also_owned(owners: DataFrame, shown: int = 3) -> DataFrame:
+    """Items with several owners: the first few by name and how many more. ``owners`` has ``item`` and ``owner``; no item's
+    owners are gathered but those shown."""
+    top = first_few(owners.select("item", "owner").distinct(), "item", "owner", shown)
+    g = top.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("place", "owner"))).alias("x"), F.max("more").alias("more")).where(F.size("x") + F.col("more") > 1)
+    rest = F.when(F.col("more") > 0, F.concat(F.lit(" +"), F.col("more").cast("string"), F.lit(" more"))).otherwise("")
+    return g.select("item", F.concat(F.array_join(F.transform("x", lambda s: s["owner"]), ", "), rest).alias("owners"))

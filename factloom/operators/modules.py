@@ -93,10 +93,8 @@ def shortest_suffixes(types: DataFrame) -> DataFrame:
 
 def placement_ranks(depths: DataFrame) -> DataFrame:
     """Dense places by (depth, label) and the place within a depth."""
-    w = Window.orderBy("depth", "label", "id")
     by_depth = Window.partitionBy("depth").orderBy("label", "id")
     # ranks follow from counts per depth, which are few; no window over everything
     sizes = depths.groupBy("depth").agg(F.count("*").alias("n"))
     before = sizes.select(F.col("depth").alias("_d"), (F.sum("n").over(Window.orderBy("depth")) - F.col("n")).alias("before"))
-    del w
-    return depths.join(F.broadcast(before), F.col("depth") == F.col("_d")).withColumn("subrank", F.row_number().over(by_depth).cast("long")).select("id", "depth", (F.col("before") + F.col("subrank")).alias("rank"), "subrank")
+    return depths.join(before, F.col("depth") == F.col("_d")).withColumn("subrank", F.row_number().over(by_depth).cast("long")).select("id", "depth", (F.col("before") + F.col("subrank")).alias("rank"), "subrank")

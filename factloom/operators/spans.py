@@ -54,12 +54,14 @@ def resolve_lines(probes: DataFrame, spans: DataFrame, calls: DataFrame | None =
 
 
 def tour_errors(steps: DataFrame, directed: DataFrame) -> DataFrame:
-    """All errors of a tour's resolved steps (``step``, ``ref``, ``a``, ``b``, ``file_a_known``, ``file_b_known``): a step has
-    a reference or an arrow or none; ends of an arrow differ and are joined by an edge. A tour is accepted if empty."""
+    """All errors of a tour's resolved steps (``step``, ``ref``, ``a``, ``b`` and, if given, ``file_a_known`` and
+    ``file_b_known``): a step has a reference or an arrow or none; files are indexed; ends of an arrow differ and are joined
+    by an edge. A tour is accepted if empty. Whole batches of tours are checked by ``tours.check``."""
     d = directed.select(F.col("from_id").alias("f"), F.col("to_id").alias("t"), F.lit(True).alias("hit"))
     r = directed.select(F.col("from_id").alias("f2"), F.col("to_id").alias("t2"), F.lit(True).alias("back"))
     j = steps.join(d, (F.col("a") == F.col("f")) & (F.col("b") == F.col("t")), "left").join(r, (F.col("a") == F.col("t2")) & (F.col("b") == F.col("f2")), "left")
     arrow = F.col("b").isNotNull()
     msg = F.when(F.col("ref").isNotNull() & F.col("a").isNotNull(), "a step has either a reference or an arrow")
     msg = msg.when(arrow & (F.col("a") == F.col("b")), "an arrow joins two different elements").when(arrow & F.col("hit").isNull() & F.col("back"), "no edge in this direction; the reverse exists").when(arrow & F.col("hit").isNull(), "no edge between the elements")
-    return j.select("step", msg.alias("msg")).where("msg is not null")
+    lost = [F.when(~F.col(c), F.lit("a file is not in the index")) for c in ("file_a_known", "file_b_known") if c in steps.columns]
+    return j.select("step", F.explode(F.array_compact(F.array(*lost, *([F.when(F.coalesce(*lost).isNull(), msg)] if lost else [msg])))).alias("msg"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import paths as P
+from factloom.operators.lookups import also_owned
 from factloom.operators import drift as D
 from factloom.operators import edges as E
 from factloom.operators import modules as M
@@ -112,9 +113,11 @@ def ag11(spark: SparkSession, d: str) -> DataFrame:
 
 @query("jn25_edge_direction", "WITH dd AS (SELECT DISTINCT from_module AS f, to_module AS t FROM {edges}), asked AS (SELECT a.place AS f, b.place || '::BUILDING' AS t FROM {places} a CROSS JOIN {places} b) SELECT asked.f AS from_id, asked.t AS to_id, EXISTS (SELECT 1 FROM dd WHERE dd.f = asked.f AND dd.t = asked.t) AS exists, EXISTS (SELECT 1 FROM dd WHERE dd.f = asked.t AND dd.t = asked.f) AS reverse_exists FROM asked")
 def jn25(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "places").select("place", F.lit(1).alias("k"))
-    # the question list: the 25 places against each other, a fixed table
-    asked = p.withColumnRenamed("place", "from_id").join(p.select(F.concat("place", F.lit("::BUILDING")).alias("to_id"), "k"), "k").select("from_id", "to_id")
+    p = read(spark, d, "places").select("place")
+    if (n := p.count()) > 1000:
+        raise ValueError(f"{n} places are too many to ask about all pairs")
+    # the question list: the nations against each other, a table of fixed size
+    asked = p.withColumnRenamed("place", "from_id").crossJoin(p.select(F.concat("place", F.lit("::BUILDING")).alias("to_id")))
     directed = read(spark, d, "edges").select(F.col("from_module").alias("from_id"), F.col("to_module").alias("to_id")).distinct()
     return E.edge_exists(asked, directed)
 
@@ -234,5 +237,4 @@ def tk2_unsafe(spark: SparkSession, d: str) -> DataFrame:
 
 @query("tk7_also_owned_by", "WITH o AS (SELECT p_partkey, list_sort(list(DISTINCT owner)) AS x FROM {buyers} GROUP BY 1) SELECT p_partkey AS item, array_to_string(x[1:3], ', ') || CASE WHEN len(x) > 3 THEN ' +' || CAST(len(x) - 3 AS VARCHAR) || ' more' ELSE '' END AS owners FROM o WHERE len(x) > 1")
 def tk7(spark: SparkSession, d: str) -> DataFrame:
-    o = read(spark, d, "buyers").groupBy("p_partkey").agg(F.sort_array(F.collect_set("owner")).alias("x")).where(F.size("x") > 1)
-    return o.select(F.col("p_partkey").alias("item"), F.concat(F.array_join(F.slice("x", 1, 3), ", "), F.when(F.size("x") > 3, F.concat(F.lit(" +"), (F.size("x") - 3).cast("string"), F.lit(" more"))).otherwise("")).alias("owners"))
+    return also_owned(read(spark, d, "buyers").select(F.col("p_partkey").alias("item"), "owner"))

@@ -29,11 +29,12 @@ def sf8(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "types").select("full_path", F.array_join(a, "|").alias("chain"), F.size(a).alias("n"))
 
 
-@query("sf19_type_text", "SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN 'mut' WHEN 2 THEN 'shared' WHEN 3 THEN 'move' WHEN 4 THEN 'raw' WHEN 5 THEN 'raw' WHEN 6 THEN 'shared' ELSE 'move' END AS flavor, CASE l_linenumber WHEN 1 THEN '&''a mut T' WHEN 2 THEN '&T' WHEN 3 THEN 'Vec<T>' WHEN 4 THEN '*const T' WHEN 5 THEN '* const T' WHEN 6 THEN '&mut(T)' ELSE '*constant' END AS ty FROM {lineitem}")
+@query("sf19_type_text", "SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN 'mut' WHEN 2 THEN 'shared' WHEN 3 THEN 'move' WHEN 4 THEN 'raw' WHEN 5 THEN 'raw' WHEN 6 THEN 'shared' ELSE 'move' END AS flavor, CASE l_linenumber WHEN 1 THEN '&''a mut T' WHEN 2 THEN CASE WHEN l_orderkey % 2 = 0 THEN '&T' ELSE '&''amut T' END WHEN 3 THEN 'Vec<T>' WHEN 4 THEN '*const T' WHEN 5 THEN '* const T' WHEN 6 THEN '&mut(T)' ELSE '*constant' END AS ty FROM {lineitem}")
 def sf19(spark: SparkSession, d: str) -> DataFrame:
     ty = F.lit("*constant")
     for k, text in enumerate(("&'a mut T", "&T", "Vec<T>", "*const T", "* const T", "&mut(T)"), 1):
         ty = F.when(F.col("l_linenumber") == k, text).otherwise(ty)
+    ty = F.when((F.col("l_linenumber") == 2) & (F.col("l_orderkey") % 2 != 0), "&'amut T").otherwise(ty)  # a lifetime whose name ends in mut
     return read(spark, d, "lineitem").withColumn("ty", ty).select("l_orderkey", "l_linenumber", P.borrow_flavor("ty").alias("flavor"), "ty")
 
 

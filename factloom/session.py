@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -16,11 +17,13 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor see: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, a laptop) a local folder is used and set as Spark's checkpoint
-    directory, which is right only as long as all tasks run on this machine.
+    Where the setting is absent and all tasks run on this machine (tests, a laptop), a local folder is used and set as
+    Spark's checkpoint directory. On a cluster its absence is an error.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         conf = "file:///tmp/checkpoints/" + spark.sparkContext.applicationId
         spark.conf.set("spark.checkpoint.dir", conf)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

@@ -6,7 +6,7 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -41,6 +41,7 @@ class SnapshotStore:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.counts: dict[str, int] = {}  # rows of the tables published last
         hadoop = spark._jvm.org.apache.hadoop
         self._path = hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -56,8 +57,11 @@ class SnapshotStore:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)) if s.getPath().getName().startswith("current-")]
         number = max((int(n.split("-")[1]) for n in names), default=0) + 1
         version = f"{number:010d}-{uuid.uuid4().hex[:8]}"
+        self.counts = {}
         for name, df in tables.items():
-            df.write.parquet(f"{self.root}/v-{version}/{name}")
+            seen = Observation()
+            df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.root}/v-{version}/{name}")
+            self.counts[name] = seen.get["n"]
         self._fs.create(self._path(f"{self.root}/.pending-{version}"), True).close()
         self._fs.rename(self._path(f"{self.root}/.pending-{version}"), self._path(f"{self.root}/current-{number:010d}-{version}"))
         return version
@@ -89,7 +93,8 @@ def follow(events: DataFrame, store: SnapshotStore, rebuild: Callable[[DataFrame
         try:
             tables = rebuild(hits, epoch)
             version = store.publish(tables)
-            notify({"event": "facts_updated", "version": version, "epoch": epoch} | {f"{k}_count": store.read(k).count() for k in tables})
+            counts = {f"{k}_count": n for k, n in store.counts.items()}  # counted while they were written
+            notify({"event": "facts_updated", "version": version, "epoch": epoch} | counts)
         except Exception as e:  # the feed goes on whatever a rebuild meets
             notify({"event": "error", "epoch": epoch, "message": str(e).split("\n")[0]})
 
