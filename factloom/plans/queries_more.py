@@ -16,9 +16,9 @@ from factloom.plans.registry import query
 _COMMON = "len(list_filter(range(1, 6), lambda i: a.p[1:i] = b.p[1:i] AND i <= least(len(a.p), len(b.p))))"
 
 
-@query("sf6_common_ancestor", f"WITH x AS (SELECT ord, full_path, string_split(full_path, '::') AS p FROM {{types}} WHERE ord < 10000000) SELECT a.ord, array_to_string(a.p[1:{_COMMON}], '::') AS ancestor, len(a.p) + len(b.p) - 2 * {_COMMON} AS distance FROM x a JOIN x b ON b.ord = a.ord + 1")
+@query("sf6_common_ancestor", f"WITH x AS (SELECT ord, full_path, string_split(full_path, '::') AS p FROM {{types}}) SELECT a.ord, array_to_string(a.p[1:{_COMMON}], '::') AS ancestor, len(a.p) + len(b.p) - 2 * {_COMMON} AS distance FROM x a JOIN x b ON b.ord = a.ord + 1")
 def sf6(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "types").where("ord < 10000000").select("ord", "full_path")
+    t = read(spark, d, "types").select("ord", "full_path")
     j = t.join(t.select((F.col("ord") - 1).alias("ord"), F.col("full_path").alias("next")), "ord")
     return j.select("ord", P.common_ancestor("full_path", "next").alias("ancestor"), P.tree_distance("full_path", "next").cast("long").alias("distance"))
 
@@ -58,11 +58,14 @@ def gr8(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("from_id", "origin").agg(F.count_distinct("to_id").alias("targets"), F.min("ord").alias("first"))
 
 
-@query("gr10_one_hop", "WITH s AS (SELECT DISTINCT event_type AS id FROM events WHERE event_type < 'm'), x AS (SELECT caller AS id FROM {calls} WHERE callee IN (SELECT id FROM s) UNION SELECT callee FROM {calls} WHERE caller IN (SELECT id FROM s)) SELECT DISTINCT id FROM x")
+@query("gr10_one_hop", "WITH s AS (SELECT 'p' || p_partkey AS id FROM {part} WHERE p_size = 25), c AS (SELECT 'p' || src AS caller, 'p' || dst AS callee FROM {dag}), e AS (SELECT DISTINCT 'p' || l_partkey AS from_id, 's' || l_suppkey AS to_id FROM {lineitem}), d AS (SELECT 'p' || p_partkey AS id, p_size AS depth FROM {part} UNION ALL SELECT 's' || s_suppkey, s_suppkey % 60 FROM {supplier}) SELECT caller AS id FROM c WHERE callee IN (SELECT id FROM s) UNION SELECT callee FROM c WHERE caller IN (SELECT id FROM s) UNION SELECT to_id FROM e JOIN d a ON a.id = from_id JOIN d b ON b.id = to_id WHERE from_id IN (SELECT id FROM s) AND b.depth > a.depth")
 def gr10(spark: SparkSession, d: str) -> DataFrame:
-    s = read(spark, d, "events").where("event_type < 'm'").select(F.col("event_type").alias("id")).distinct()
-    none = s.select("id", F.lit(0).alias("depth"))
-    return C.one_hop(s, read(spark, d, "calls"), spark.createDataFrame([], "from_id string, to_id string"), none)
+    """Parts of one size are selected; parts call parts of the same order, and own suppliers."""
+    part = read(spark, d, "part")
+    calls = read(spark, d, "dag").selectExpr("'p' || src AS caller", "'p' || dst AS callee")
+    owned = read(spark, d, "lineitem").selectExpr("'p' || l_partkey AS from_id", "'s' || l_suppkey AS to_id").distinct()
+    depths = part.selectExpr("'p' || p_partkey AS id", "CAST(p_size AS LONG) AS depth").union(read(spark, d, "supplier").selectExpr("'s' || s_suppkey", "s_suppkey % 60"))
+    return C.one_hop(part.where("p_size = 25").selectExpr("'p' || p_partkey AS id"), calls, owned, depths)
 
 
 @query("lk3_target_modules", "SELECT DISTINCT from_id, to_module FROM {edges} WHERE kind = 'owns'")

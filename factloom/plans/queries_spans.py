@@ -98,7 +98,7 @@ def ag13(spark: SparkSession, d: str) -> DataFrame:
     return S.hunk_ranges(lines.where("kind <> 'context'"))
 
 
-_CANON = "(SELECT left(text, 12) AS full_path, doc_id AS ord, CASE lang WHEN 'en' THEN 'struct' WHEN 'de' THEN 'enum' WHEN 'fr' THEN 'type_alias' ELSE 'trait' END AS kind, CASE doc_id % 5 WHEN 0 THEN 'modified' WHEN 1 THEN 'both' WHEN 2 THEN 'head' ELSE 'base' END AS side, n_chars % 50 AS n_fields, n_chars % 7 AS n_methods, n_chars AS prev_start FROM documents)"
+_CANON = "(SELECT text AS full_path, doc_id AS ord, CASE lang WHEN 'en' THEN 'struct' WHEN 'de' THEN 'enum' WHEN 'fr' THEN 'type_alias' ELSE 'trait' END AS kind, CASE doc_id % 5 WHEN 0 THEN 'modified' WHEN 1 THEN 'both' WHEN 2 THEN 'head' ELSE 'base' END AS side, n_chars % 50 AS n_fields, n_chars % 7 AS n_methods, n_chars AS prev_start FROM documents)"
 
 
 @query("wn2_canonical_types", "WITH t AS (SELECT *, n_fields + n_methods - CASE WHEN kind = 'type_alias' THEN 100 ELSE 0 END AS score, CASE side WHEN 'modified' THEN 0 WHEN 'both' THEN 1 WHEN 'head' THEN 2 ELSE 3 END AS r FROM " + _CANON + " x), b AS (SELECT *, row_number() OVER (PARTITION BY full_path ORDER BY score DESC, ord) AS rn FROM t), g AS (SELECT full_path, min(r) AS r, min(ord) AS first_ord, count(*) AS variants, min(CASE WHEN side = 'modified' THEN ord END) AS pm FROM t GROUP BY 1) SELECT g.full_path, b.kind, b.ord, CASE g.r WHEN 0 THEN 'modified' WHEN 1 THEN 'both' WHEN 2 THEN 'head' ELSE 'base' END AS side, p.prev_start, g.first_ord, g.variants FROM g JOIN b ON b.full_path = g.full_path AND b.rn = 1 LEFT JOIN t p ON p.ord = g.pm AND p.full_path = g.full_path")
@@ -106,7 +106,7 @@ def wn2(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("lang") == "en", "struct").when(F.col("lang") == "de", "enum").when(F.col("lang") == "fr", "type_alias").otherwise("trait")
     m = F.col("doc_id") % 5
     side = F.when(m == 0, "modified").when(m == 1, "both").when(m == 2, "head").otherwise("base")
-    t = read(spark, d, "documents").select(F.expr("left(text, 12)").alias("full_path"), F.col("doc_id").alias("ord"), kind.alias("kind"), side.alias("side"), (F.col("n_chars") % 50).alias("n_fields"), (F.col("n_chars") % 7).alias("n_methods"), F.col("n_chars").alias("prev_start"))
+    t = read(spark, d, "documents").select(F.col("text").alias("full_path"), F.col("doc_id").alias("ord"), kind.alias("kind"), side.alias("side"), (F.col("n_chars") % 50).alias("n_fields"), (F.col("n_chars") % 7).alias("n_methods"), F.col("n_chars").alias("prev_start"))
     return S.canonical_types(t)
 
 

@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from factloom.plans import queries_edges, queries_graph, queries_lookups, queries_more, queries_service, queries_sources, queries_spans, queries_survey  # noqa: E402, F401
+from factloom.plans import queries_edges, queries_graph, queries_index, queries_lookups, queries_more, queries_service, queries_sources, queries_spans, queries_survey  # noqa: E402, F401
