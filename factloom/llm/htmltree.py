@@ -12,7 +12,8 @@ labels. The tag ``article`` is a feature among others.
 
 Null, empty and text-free pages give an empty text. Broken markup is read as browsers do in the common cases:
 unclosed paragraphs, list items and cells end where the next begins, stray end tags are ignored. Every page is
-read to its end; repeated rows are handled alike.
+read to its end, in time linear in its length; repeated rows are handled alike. An empty table gives no rows. Columns other
+than key, address and page are not read.
 """
 
 from __future__ import annotations

@@ -13,8 +13,9 @@ So candidate pairs end in one component, are compared, or cannot be similar, wit
 below 1e-6 (24 bands at 0.85, 35 at 0.8).
 
 Null and empty texts have an empty set and link with nothing. Rows without a key link with nothing and have a
-null component. Rows that share a key are one node with several texts. Ties go to the smaller key. Columns of
-the input other than key and text are not looked at.
+null component. Rows that share a key are one node with several texts. Ties go to the smaller key. Keys are integers. A
+very long text is one set, read whole. An empty table gives no rows. Columns of the input other than key and text are
+not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -186,9 +187,11 @@ def _sharing(texts: DataFrame, side: DataFrame, words: int, percent: int) -> Dat
 
 
 def _plausible(pairs: DataFrame, sigs: DataFrame, percent: int, n_bands: int = BANDS) -> DataFrame:
-    """Pairs whose signatures agree up to six standard deviations below the threshold."""
+    """Pairs whose signatures agree up to six standard deviations below the threshold. The minimum and the maximum under a
+    permutation need not be independent (of a set of one they are equal); the mean of both varies no more than that of either, so the
+    deviation is that of one value for each permutation. A pair at the threshold is lost with probability below 1e-7."""
     j = percent / 100
-    least = j - 6 * (j * (1 - j) / (n_bands * ROWS)) ** 0.5
+    least = j - 6 * (j * (1 - j) / (n_bands * ROWS / 2)) ** 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -10,7 +10,8 @@ lines of documents of good quality are content, lines of others boilerplate. Wit
 line counts as content. Scoring reads whole texts and has no bound.
 
 Null and empty texts have no words and fail the plain rule on length. Lines without a word belong to no label.
-Rows without a key and repeated rows are scored like any other.
+Rows without a key and repeated rows are scored like any other. Keys of labelled documents are integers. An empty table gives
+no rows. Columns that share a name with a result are not read.
 """
 
 from __future__ import annotations

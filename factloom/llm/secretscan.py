@@ -7,7 +7,8 @@ the query says, and only the documents left are read with the expression itself.
 trigram read every document. Blocks are bounded in bytes, so memory does not grow with the input.
 
 Null and empty texts have no spans. Matches do not overlap within a rule and may overlap between rules; a match
-that a rule's further test refuses is dropped and not tried again. Spans are in code points, end exclusive.
+that a rule's further test refuses is dropped and not tried again. Spans are in code points, end exclusive. Repeated rows are
+scanned like any other; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ Truncation and budget questions read the table instead of encoding again.
 A prefix may end inside a pre-token in a way that changes how the text is cut: inside a run of white space,
 inside a contraction, or behind a space whose word is cut away. ``prefix_counts`` answers these too.
 
-Null and empty texts count nothing. Special strings inside a text count as one token each, as the library has it.
+Null and empty texts count nothing. Special strings inside a text count as one token each, as the library has it. Very long
+texts are counted whole, repeated rows one by one; an empty table gives no rows. Columns other than key and text are not
+read.
 """
 
 from __future__ import annotations

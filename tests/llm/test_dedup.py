@@ -223,3 +223,28 @@ def test_pipeline(spark, tmp_path):
     run = c.run(spark, str(tmp_path))
     assert sorted(map(tuple, run.drop("sequence_id", "offset").collect())) == sorted(map(tuple, state.drop("sequence_id", "offset").collect()))
     assert quality is not None and run.where(F.col("length") > 4096).count() == 0
+
+
+def test_pipeline_of_awkward_rows(spark, tmp_path):
+    """Rows without a key and other texts under one key stay, a repeated row counts once, a very long text is packed whole; and an empty table gives no rows."""
+    import corpus_pipeline as c
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdeiou") for _ in range(rng.randint(1, 9))) for _ in range(900)]
+    text = lambda lines: "\n".join(" ".join(rng.choice(words) for _ in range(15)).capitalize() + "." for _ in range(lines))
+    rows = [(i, text(8)) for i in range(12)] + [(None, text(8)), (None, text(9)), (5, text(8)), (20, text(4_000))]
+    repeated = [(6, rows[6][1]), (6, rows[6][1])]
+    for folder, given in (("full", [*rows, *repeated, (30, None), (31, ""), (None, None)]), ("empty", [])):
+        frame(spark, given).write.parquet(str(tmp_path / folder / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / folder / "labels.parquet"))
+    assert c.run(spark, str(tmp_path / "empty")).count() == 0
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want, got = {}, {}
+    for i, t in rows:
+        want[i] = want.get(i, 0) + len(tok.encode(t, add_special_tokens=False).ids) + 1
+    for r in c.run(spark, str(tmp_path / "full")).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+        assert 0 < r.length <= 4096
+    assert got == want
