@@ -241,3 +241,18 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", sp
             yield pa.RecordBatch.from_arrays(out, names=[c.split()[0] for c in ("key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")[: len(out)]])
 
     return own.join(found, ["id1", "id2"], "left").select("key", "text", "spans").mapInArrow(run, cols).withColumnRenamed("key", key)
+
+
+#: Every 200-byte string by its place, in hexadecimal digits, cut from blocks of 400 bytes so that it takes linear time.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, j, n, substr(h, 800 * j + 1, 1200) AS part FROM (SELECT doc_id, h, length(h) // 2 AS n, unnest(range(0, length(h) // 800 + 1)) AS j FROM d) x),
+p AS (SELECT doc_id, 400 * j + o AS i, md5(substr(part, 2 * o + 1, 400)) AS m FROM c, (SELECT unnest(range(0, 400)) AS o) os WHERE 400 * j + o <= n - 200),
+s AS (SELECT doc_id, i FROM p WHERE m IN (SELECT m FROM p GROUP BY m HAVING count(*) > 1)),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM s),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) x GROUP BY doc_id, run),
+k AS (SELECT r.doc_id, a, b, substr(h, 2 * lag(b, 1, 0) OVER (PARTITION BY r.doc_id ORDER BY a) + 1, 2 * (a - lag(b, 1, 0) OVER (PARTITION BY r.doc_id ORDER BY a))) AS kept FROM r JOIN d ON r.doc_id = d.doc_id),
+t AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS n, max(b) AS stop, string_agg(kept, '' ORDER BY a) AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id
+"""
