@@ -267,3 +267,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         out = out.join(labels.select(F.col("node"), F.col("label")), F.col("rep") == F.col("node"), "left")
         comp = F.coalesce("label", "rep", "doc")
     return out.select(F.col("doc").alias(key), "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc") == comp, F.lit(True)).alias("kept"))
+
+
+#: All pairs of a shared shingle, counted; reachable keys by recursion.
+ORACLE = """
+WITH RECURSIVE w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents) x),
+g AS (SELECT DISTINCT doc_id, CASE WHEN n < 5 THEN string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) ELSE concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) END AS shingle FROM w WHERE n >= 5 OR i >= 1 WINDOW o AS (PARTITION BY doc_id ORDER BY i) QUALIFY i = 1 OR i <= n - 4),
+k AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+l AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2) p JOIN k ka ON ka.doc_id = a JOIN k kb ON kb.doc_id = b WHERE 100 * c >= 85 * (ka.n + kb.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT a, min(b) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(k.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN m ON m.a = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
+"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.exactdup import ORACLE as _EXACT
 from factloom.llm.hardneg import ORACLE as _HARD
+from factloom.llm.neardup import ORACLE as _NEAR
 from factloom.llm.suffixdup import ORACLE as _REPEATS
 from factloom.llm.vectorcodes import ORACLE as _CODES
 
@@ -101,4 +102,4 @@ def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pieces": op1_pieces, "op2_token_file": op2_token_file, "op3_packing": op3_packing, "op4_pii": op4_pii, "op5_near_duplicates": op5_near_duplicates, "op6_exact_duplicates": op6_exact_duplicates, "op7_secrets": op7_secrets, "op8_quality": op8_quality, "op9_html": op9_html, "op10_token_counts": op10_token_counts, "op11_hard_negatives": op11_hard_negatives, "op12_vector_codes": op12_vector_codes, "op13_repeated_passages": op13_repeated_passages}
-ORACLES: dict[str, str] = {"op6_exact_duplicates": _EXACT, "op11_hard_negatives": _HARD, "op12_vector_codes": _CODES, "op13_repeated_passages": _REPEATS}
+ORACLES: dict[str, str] = {"op5_near_duplicates": _NEAR, "op6_exact_duplicates": _EXACT, "op11_hard_negatives": _HARD, "op12_vector_codes": _CODES, "op13_repeated_passages": _REPEATS}
