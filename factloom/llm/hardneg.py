@@ -122,7 +122,7 @@ def _cells(pairs: DataFrame, positives: int, negatives: int, low: int, high: int
                     if positives and block == x["block"]:
                         same[x["place"]] = False  # not itself
                     part = np.flatnonzero(same if positives else ~same)
-                    order = part[np.lexsort((ids[part], -s[part]))]
+                    order = part[np.argsort(-s[part], kind="stable")]  # a block's ids ascend
                     if positives:
                         _merge(best, (x["block"], x["place"], 0), s[order[:positives]], ids[order[:positives]], positives)
                         continue
@@ -139,10 +139,16 @@ def _cells(pairs: DataFrame, positives: int, negatives: int, low: int, high: int
 
 
 def _meet(blocks: DataFrame, anchors: DataFrame, groups: int, slots: int) -> DataFrame:
-    """Each anchor block beside each row block of the same vector length, by an equal join on the pair of places."""
+    """Each anchor block beside each row block of the same vector length, by an equal join on the pair of places. Neither
+    side is broadcast: the copies of the anchors lie in as many tasks as there are pairs of places."""
     left = blocks.select("dim", "block", "ids", "labels", "comps", F.pmod(F.xxhash64("block"), F.lit(slots)).alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
     right = anchors.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
-    return left.join(right, ["dim", "group", "slot"])
+    return left.join(right.hint("shuffle_hash"), ["dim", "group", "slot"])
+
+
+def _slots(groups: int, partitions: int) -> int:
+    """Places of row blocks: enough for a pair of places in every partition, no more, as every place takes a copy of all anchors."""
+    return max(1, -(-partitions // groups))
 
 
 def mine(rows: DataFrame, anchor: Column, key: str = "vec_id", vector: str = "embedding", label: str = "label", positives: int = 5, negatives: int = 5, low: int = 80, high: int = 100, scale: int = 256, group: int = ANCHORS, size: int = ROWS) -> DataFrame:
@@ -154,7 +160,8 @@ def mine(rows: DataFrame, anchor: Column, key: str = "vec_id", vector: str = "em
     wide = integer_rows(known, vector, F.col(key).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.coalesce(anchor, F.lit(False)).alias("is_anchor"), scale=scale)
     blocks = freeze(_packed(wide, size).withColumn("block", F.monotonically_increasing_id()), "row_blocks")
     anchors = freeze(_anchor_rows(blocks), "anchors")
-    groups, slots = max(1, -(-anchors.count() // group)), partitions_for(spark)
+    groups = max(1, -(-anchors.count() // group))
+    slots = _slots(groups, partitions_for(spark))
     dealt = F.pmod(F.xxhash64("block", "place"), F.lit(groups)).cast("int").alias("group")
 
     best = _cells(_meet(blocks, _grouped(anchors.withColumn("wanted", F.array().cast("array<long>")), dealt), groups, slots), positives, 0, low, high)

@@ -53,6 +53,15 @@ def test_hard_negatives(spark, group, size):
     assert sorted(tuple(r)[:6] for r in got.collect()) == _mined(rows, 10, 5, 80)
 
 
+def test_anchor_copies_stay_out_of_the_driver(spark):
+    """Anchors are copied once for each place of row blocks; the copies are no broadcast and do not grow with the partitions."""
+    assert [hardneg._slots(g, 600) for g in (1, 15, 600, 5000)] == [600, 40, 1, 1]
+    blocks = hardneg._packed(spark.range(40).selectExpr("id", "id % 3 AS label", "id % 10 = 0 AS is_anchor", "array(id, 1L) AS v"), 7).withColumn("block", F.monotonically_increasing_id())
+    anchors = hardneg._anchor_rows(blocks).withColumn("wanted", F.array().cast("array<long>"))
+    plan = hardneg._meet(blocks, hardneg._grouped(anchors, F.lit(0).alias("group")), 1, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_hard_negatives_at_the_edges(spark):
     assert hardneg.mine(_vectors(spark, []), F.col("vec_id") % 10 == 0).count() == 0
     rows = [(0, [1.0], 1), (0, [1.0], 1), (1, [1.0], 1), (2, [1.0], 2), (2, [1.0], 2), (3, [-1.0], 1), (4, [0.0], 2)]  # repeated anchors and rows
