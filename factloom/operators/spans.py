@@ -6,23 +6,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_SPAN = ("file", "id", "start_line", "end_line")
+
+
+def _marked(spans: DataFrame, found: DataFrame) -> DataFrame:
+    """``spans`` with ``hit``: whether ``found`` holds the span, all of whose values count."""
+    hit = found.select(*(F.col(c).alias(f"_{c}") for c in _SPAN)).distinct().withColumn("hit", F.lit(True))
+    same = F.col("file").eqNullSafe(F.col("_file"))
+    for c in _SPAN[1:]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return spans.join(hit, same, "left").select(*spans.columns, F.coalesce("hit", F.lit(False)).alias("hit"))
+
+
 def overlaps(spans: DataFrame, hunks: DataFrame) -> DataFrame:
     """``spans`` (``file``, ``id``, ``start_line``, ``end_line``) with ``hit``: some hunk (``file``, ``start``, ``end``)
     overlaps, ends included. The file is the join key; the test is a semi join."""
     h = hunks.select(F.col("file").alias("_f"), "start", "end")
-    hit = spans.join(h, (F.col("file") == F.col("_f")) & (F.col("start_line") <= F.col("end")) & (F.col("end_line") >= F.col("start")), "left_semi").select(F.col("id").alias("_id")).distinct().withColumn("hit", F.lit(True))
-    return spans.join(hit, F.col("id") == F.col("_id"), "left").select(*spans.columns, F.coalesce("hit", F.lit(False)).alias("hit"))
+    return _marked(spans, spans.join(h, (F.col("file") == F.col("_f")) & (F.col("start_line") <= F.col("end")) & (F.col("end_line") >= F.col("start")), "left_semi"))
 
 
 def bucketed_overlaps(spans: DataFrame, hunks: DataFrame, width: int = 64) -> DataFrame:
     """The same for files that dominate: both sides are cut into line buckets that join the key; hunks that run to
-    the end of a file are clamped to its last line first."""
-    last = spans.groupBy("file").agg(F.max("end_line").alias("last")).withColumnRenamed("file", "_lf")
-    h = hunks.join(last, F.col("file") == F.col("_lf")).select("file", "start", F.least("end", "last").alias("end")).where("start <= end")
+    the end of a file are clamped to its last line first. Spans and hunks that end before they start are compared as they are."""
+    last = spans.groupBy("file").agg(F.max(F.greatest("start_line", "end_line")).alias("last")).withColumnRenamed("file", "_lf")
+    h = hunks.join(last, F.col("file") == F.col("_lf")).where("start <= last").select("file", "start", F.least("end", "last").alias("end"))
     cut = lambda df, a, b: df.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width))))
-    s, g = cut(spans, "start_line", "end_line"), cut(h, "start", "end").select(F.col("file").alias("_f"), "start", "end", F.col("bucket").alias("_b"))
-    hit = s.join(g, (F.col("file") == F.col("_f")) & (F.col("bucket") == F.col("_b")) & (F.col("start_line") <= F.col("end")) & (F.col("end_line") >= F.col("start")), "left_semi").select(F.col("id").alias("_id")).distinct().withColumn("hit", F.lit(True))
-    return spans.join(hit, F.col("id") == F.col("_id"), "left").select(*spans.columns, F.coalesce("hit", F.lit(False)).alias("hit"))
+    s, g = cut(spans, "start_line", "end_line"), cut(h.where("end is not null"), "start", "end").select(F.col("file").alias("_f"), "start", "end", F.col("bucket").alias("_b"))
+    return _marked(spans, s.join(g, (F.col("file") == F.col("_f")) & (F.col("bucket") == F.col("_b")) & (F.col("start_line") <= F.col("end")) & (F.col("end_line") >= F.col("start")), "left_semi"))
 
 
 def resolve_lines(probes: DataFrame, spans: DataFrame, calls: DataFrame | None = None, modules: DataFrame | None = None) -> DataFrame:

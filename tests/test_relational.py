@@ -324,3 +324,13 @@ def test_a_request_without_a_way(spark):
     ring = spark.createDataFrame([("l", 8.0, -4.0, 9.0, 4.0), ("l", 11.0, -4.0, 12.0, 4.0), ("l", 7.0, -5.0, 13.0, -2.0), ("l", 7.0, 2.0, 13.0, 5.0)], "layout string, x0 double, y0 double, x1 double, y1 double")
     with pytest.raises(Exception, match="no way for request 1"):
         layout.routes(req, ring).collect()
+
+
+def test_bucketed_overlaps_of_reversed_spans(spark):
+    """A span that ends before it starts may be the last of its file; hunks are not clamped below its start."""
+    rows = [(1, 1, 300, 5), (1, 2, 0, 4), (2, 1, 90, 90), (3, 1, None, 7), (None, 1, 0, 9)]
+    s = spark.createDataFrame(rows, "file long, id long, start_line long, end_line long")
+    h = spark.createDataFrame([(1, 5, 400), (2, 91, 95), (2, 90, 2**40), (3, 0, 9), (1, 4, 2)], "file long, start long, end long")
+    want = sorted((f, i, a, b, any(f == g and None not in (a, b) and a <= z and b >= y for g, y, z in [tuple(r) for r in h.collect()])) for f, i, a, b in rows if f)
+    for found in (spans.overlaps(s, h), spans.bucketed_overlaps(s, h)):
+        assert {tuple(r) for r in found.where("file is not null").collect()} == set(want)
