@@ -18,3 +18,10 @@ def test_names_are_resolved_once_for_each_source(spark, monkeypatch):
     for name in ("jn7_call_ladder", "jn1_resolve_types"):
         entry._core.QUERIES[name](spark, SF)
     assert [x.count() for x in met] == [parts.select("p_brand", "p_type", "p_name").distinct().count()] * 2
+
+
+@pytest.mark.parametrize("name", ["gr6_drift_cli", "gr7_drift_view", "ag10_drift_summary", "ag10_severity_histogram", "tk3_drift_sections"])
+def test_owners_are_aggregated_as_numbers(spark, name):
+    """No aggregation holds paths, which would sort all owners; pairs of items and owners are told apart by their numbers."""
+    plan = entry._core.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
