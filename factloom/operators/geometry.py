@@ -29,19 +29,22 @@ def _cells(low: Column, high: Column, cell: float) -> Column:
     return F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell)))
 
 
-def paths_at(probes: DataFrame, points: DataFrame, tolerance: float, cell: float = 64) -> DataFrame:
+def paths_at(probes: DataFrame, points: DataFrame, tolerance: float, cell: float = 32) -> DataFrame:
     """Paths within ``tolerance`` of each probe (``probe``, ``x``, ``y``), the nearest first: ``probe``, ``path``,
     ``distance``, ``zone`` and ``rank``. The zone is source up to half of the path's length, else target; of equally near
-    segments the first counts; equal distances rank by path. Segments meet probes in shared grid cells only."""
+    segments the first counts; equal distances rank by path. Segments meet probes in shared grid cells only.
+
+    A probe lies in one cell, so what is found for it is grouped and ranked where it was found: segments and probes are
+    shuffled by cell, the hits, which may be far more, never."""
     s = path_segments(points)
     ends = lambda c: (F.least(f"a{c}", f"b{c}") - tolerance, F.greatest(f"a{c}", f"b{c}") + tolerance)
     s = s.withColumn("cx", _cells(*ends("x"), cell)).withColumn("cy", _cells(*ends("y"), cell))
     p = probes.select("probe", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
     distance, along = on_segment()
-    near = p.join(s, ["cx", "cy"]).withColumn("distance", distance).withColumn("at", F.col("before") + along).where(F.col("distance") <= tolerance)
-    best = near.groupBy("probe", "path").agg(F.min(F.struct("distance", "ord", "at", "length")).alias("b"))
+    near = p.hint("shuffle_hash").join(s, ["cx", "cy"]).withColumn("distance", distance).withColumn("at", F.col("before") + along).where(F.col("distance") <= tolerance)
+    best = near.groupBy("cx", "cy", "probe", "path").agg(F.min(F.struct(F.round("distance", 9).alias("near"), "ord", "distance", "at", "length")).alias("b"))
     zone = F.when(F.col("b.at") <= F.col("b.length") / 2, "source").otherwise("target")
-    rank = F.row_number().over(Window.partitionBy("probe").orderBy(F.round("b.distance", 9), "path"))
+    rank = F.row_number().over(Window.partitionBy("cx", "cy", "probe").orderBy("b.near", "path"))
     return best.select("probe", "path", F.col("b.distance").alias("distance"), zone.alias("zone"), rank.alias("rank"))
 
 

@@ -25,3 +25,10 @@ def test_owners_are_aggregated_as_numbers(spark, name):
     """No aggregation holds paths, which would sort all owners; pairs of items and owners are told apart by their numbers."""
     plan = entry._core.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
+
+
+def test_hits_are_ranked_where_they_are_found(spark):
+    """Segments and probes are shuffled by cell; what is found for a probe is grouped and ranked in the task that found it."""
+    plan = entry._core.QUERIES["tk9_paths_at_point"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert dealt and not any("probe" in x.split("hashpartitioning(")[1].split(")")[0] for x in dealt)
