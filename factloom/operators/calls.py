@@ -50,7 +50,7 @@ def one_hop(selected: DataFrame, calls: DataFrame, edges: DataFrame, depths: Dat
 def forward_split(edges: DataFrame, depths: DataFrame) -> DataFrame:
     """Edges marked forward where the target lies deeper."""
     d = depths.select(F.col("node"), "depth")
-    return edges.join(d.toDF("_a", "da"), F.col("src") == F.col("_a")).join(d.toDF("_b", "db"), F.col("dst") == F.col("_b")).select("src", "dst", (F.col("db") > F.col("da")).alias("forward"))
+    return edges.join(d.toDF("_a", "da").hint("merge"), F.col("src") == F.col("_a")).join(d.toDF("_b", "db").hint("merge"), F.col("dst") == F.col("_b")).select("src", "dst", (F.col("db") > F.col("da")).alias("forward"))
 
 
 def endpoint_axis(arrows: DataFrame, by: str, a: str, b: str) -> DataFrame:

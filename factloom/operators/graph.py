@@ -156,17 +156,18 @@ def strong_components(edges: DataFrame, limit: int = 200) -> DataFrame:
 
 
 def longest_depth(edges: DataFrame, nodes: DataFrame | None = None, limit: int = 1000) -> DataFrame:
-    """Longest path that ends in each node of an acyclic graph. Only nodes whose depth rose push on."""
+    """Longest path that ends in each node of an acyclic graph. Only nodes whose depth rose push on. No side of a join is
+    broadcast: nodes, whose files are small for their number, would pass through the driver in every round."""
     e = freeze(edges.select("src", "dst").distinct(), "edges")
     every = nodes if nodes is not None else e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     best = freeze(every.select("node", F.lit(0).alias("depth")), "depth")
     front = best
     for _ in range(limit):
-        push = front.join(e, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("to")).agg(F.max(F.col("depth") + 1).alias("new"))
-        front = freeze(push.join(best, F.col("to") == F.col("node")).where("new > depth").select("node", F.col("new").alias("depth")), "front")
+        push = front.join(e.hint("merge"), F.col("node") == F.col("src")).groupBy(F.col("dst").alias("to")).agg(F.max(F.col("depth") + 1).alias("new"))
+        front = freeze(push.join(best.hint("merge"), F.col("to") == F.col("node")).where("new > depth").select("node", F.col("new").alias("depth")), "front")
         if front.isEmpty():
             return best
-        best = freeze(best.join(front.withColumnRenamed("depth", "up"), "node", "left").select("node", F.greatest("depth", F.coalesce("up", "depth")).alias("depth")), "depth")
+        best = freeze(best.join(front.withColumnRenamed("depth", "up").hint("merge"), "node", "left").select("node", F.greatest("depth", F.coalesce("up", "depth")).alias("depth")), "depth")
     raise RuntimeError("the graph has a cycle or is deeper than the limit")
 
 

@@ -35,7 +35,7 @@ def gr5(spark: SparkSession, d: str) -> DataFrame:
 
 @query("wn6_placement_ranks", "WITH RECURSIVE g AS (SELECT DISTINCT src, dst FROM {dag}), w AS (SELECT src AS node, 0 AS depth FROM g UNION SELECT g.dst, w.depth + 1 FROM w JOIN g ON w.node = g.src), x AS (SELECT node AS id, max(depth) AS depth FROM w GROUP BY node), p AS (SELECT x.id, x.depth, p_name AS label FROM x JOIN part ON p_partkey = x.id) SELECT id, depth, row_number() OVER (ORDER BY depth, label, id) AS rank, row_number() OVER (PARTITION BY depth ORDER BY label, id) AS subrank FROM p")
 def wn6(spark: SparkSession, d: str) -> DataFrame:
-    depths = G.longest_depth(read(spark, d, "dag")).join(read(spark, d, "part"), F.col("node") == F.col("p_partkey")).select(F.col("node").alias("id"), "depth", F.col("p_name").alias("label"))
+    depths = G.longest_depth(read(spark, d, "dag")).join(read(spark, d, "part").hint("merge"), F.col("node") == F.col("p_partkey")).select(F.col("node").alias("id"), "depth", F.col("p_name").alias("label"))
     return M.placement_ranks(depths)
 
 

@@ -32,3 +32,12 @@ def test_hits_are_ranked_where_they_are_found(spark):
     plan = entry._core.QUERIES["tk9_paths_at_point"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
     assert dealt and not any("probe" in x.split("hashpartitioning(")[1].split(")")[0] for x in dealt)
+
+
+def test_nodes_stay_out_of_the_driver(spark):
+    """Parts are not broadcast for the graph they make, nor depths for its edges."""
+    from factloom.plans.adapters import read
+
+    for df in (read(spark, SF, "dag"), entry._core.QUERIES["gr9_forward_split"](spark, SF)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(f"BroadcastHashJoin [{key}#" in plan for key in ("l_partkey", "src", "dst"))
