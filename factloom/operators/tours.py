@@ -49,10 +49,14 @@ def check(tours: DataFrame, spans: DataFrame, modules: DataFrame, directed: Data
     asked = steps.where(~mixed).select("tour", "step", F.explode(F.filter(F.array(*(F.struct(F.lit(k).alias("ref"), F.col(c).alias("at"), F.lit(c).alias("slot")) for k, c in ((1, "one"), (1, "a"), (2, "b")))), lambda x: x["at"].isNotNull())).alias("x"))
     probes = asked.select(F.struct("tour", "step", "x.slot").alias("probe"), F.col("x.at.file").alias("file"), F.col("x.at.line").alias("line"))
     found = S.resolve_lines(probes, spans, calls, modules).select("probe.*", F.struct(F.col("element_id").alias("id"), F.when(F.col("how").isin("module", "unknown"), F.col("how")).otherwise("element").alias("kind"), "file").alias("r"))
-    wide = found.groupBy("tour", "step").agg(*(F.max(F.when(F.col("slot") == c, F.col("r"))).alias(f"r_{c}") for c in ("one", "a", "b")))
-    pairs = wide.where("r_a.id is not null and r_b.id is not null").select(F.col("r_a.id").alias("from_id"), F.col("r_b.id").alias("to_id")).distinct()
+    wide = freeze(found.groupBy("tour", "step").agg(*(F.max(F.when(F.col("slot") == c, F.col("r"))).alias(f"r_{c}") for c in ("one", "a", "b"))), "tour_refs")
+    ends = F.col("r_a.id").isNotNull() & F.col("r_b.id").isNotNull()
+    pairs = wide.where(ends).select(F.col("r_a.id").alias("from_id"), F.col("r_b.id").alias("to_id")).distinct()
     joined = E.edge_exists(pairs, directed.select("from_id", "to_id").distinct()).select(F.col("from_id").alias("_f"), F.col("to_id").alias("_t"), "exists", "reverse_exists")
-    j = steps.join(wide, ["tour", "step"], "left").join(joined, (F.col("r_a.id") == F.col("_f")) & (F.col("r_b.id") == F.col("_t")), "left")
+    # only arrows with both ends are asked about; all other steps would meet under one null key
+    hit = wide.where(ends).join(joined, (F.col("r_a.id") == F.col("_f")) & (F.col("r_b.id") == F.col("_t")), "left").drop("_f", "_t")
+    rest = wide.where(~ends).withColumns({c: F.lit(None).cast("boolean") for c in ("exists", "reverse_exists")})
+    j = steps.join(hit.unionByName(rest), ["tour", "step"], "left")
 
     lost = lambda c, said: F.concat(F.lit(f"{said}file not in index: "), F.coalesce(F.col(f"{c}.file"), F.lit("null")))
     error = lambda ref, msg: F.struct(F.lit(ref).alias("ref"), msg.alias("msg"))
