@@ -21,14 +21,26 @@ def _sides(edges: DataFrame) -> DataFrame:
 
 
 def edge_profile(edges: DataFrame) -> DataFrame:
-    """Counts of edges by direction and kind, totals and distinct ends, one row per id that has an edge."""
-    s = _sides(edges)
-    # partial counts per (id, dir, other, kind): hubs shrink before their rows meet
-    part = s.groupBy("id", "dir", "other", "kind").agg(F.count("*").alias("n"))
-    counts = [F.sum(F.when((F.col("dir") == d) & (F.col("kind") == k), F.col("n")).otherwise(0)).alias(f"{d}_{k}") for d in ("in", "out") for k in EDGE_KINDS]
-    totals = [F.sum(F.when(F.col("dir") == d, F.col("n")).otherwise(0)).alias(f"{d}_total") for d in ("in", "out")]
-    distinct = [F.count_distinct(F.when(F.col("dir") == d, F.col("other"))).alias(f"{d}_distinct") for d in ("in", "out")]
-    return part.groupBy("id").agg(*totals, *distinct, *counts)
+    """Counts of edges by direction and kind, totals and distinct ends, one row per id that has an edge.
+
+    Edges of the same ends become one row, which serves both directions: hubs shrink before their rows meet, and
+    distinct ends are rows."""
+    of_kind = [F.count_if(F.col("kind") == k).alias(k) for k in EDGE_KINDS]
+    pairs = edges.groupBy("from_id", "to_id").agg(F.count("*").alias("total"), *of_kind)
+    columns, sides = ("total", "distinct", *EDGE_KINDS), []
+    for here, own, other in (("in", "to_id", "from_id"), ("out", "from_id", "to_id")):
+        side = pairs.groupBy(F.col(own).alias("id")).agg(F.sum("total").alias("total"), F.count(other).alias("distinct"), *(F.sum(k).alias(k) for k in EDGE_KINDS))
+        sides.append(side.select("id", *((F.col(c) if d == here else F.lit(0).cast("long")).alias(f"{d}_{c}") for d in ("in", "out") for c in columns)))
+    added = [F.sum(f"{d}_{c}").alias(f"{d}_{c}") for c in ("total", "distinct") for d in ("in", "out")]
+    return sides[0].unionByName(sides[1]).groupBy("id").agg(*added, *(F.sum(f"{d}_{k}").alias(f"{d}_{k}") for d in ("in", "out") for k in EDGE_KINDS))
+
+
+def edge_totals(edges: DataFrame) -> DataFrame:
+    """``id``, ``in_total`` and ``out_total`` of every id that has an edge."""
+    count = lambda own: edges.groupBy(F.col(own).alias("id")).agg(F.count("*").alias("n"))
+    none = F.lit(0).cast("long")
+    both = count("to_id").select("id", F.col("n").alias("in_total"), none.alias("out_total")).union(count("from_id").select("id", none, "n"))
+    return both.groupBy("id").agg(F.sum("in_total").alias("in_total"), F.sum("out_total").alias("out_total"))
 
 
 def profile_maps(edges: DataFrame) -> DataFrame:

@@ -104,11 +104,15 @@ def fields_pointing_at(edges: DataFrame) -> DataFrame:
     return first.groupBy("from_id", "to_id").agg(F.array_sort(F.collect_list(F.struct("ord", "field"))).alias("x")).select("from_id", "to_id", F.transform("x", lambda s: s["field"]).alias("fields"))
 
 
-def member_rows(edges: DataFrame, calls: DataFrame) -> DataFrame:
-    """Rows of each type that have arrows: its fields that point at something, and its callables that call something.
-    ``calls``: ``type_path``, ``row_name``, ``row_kind``, ``callee``."""
-    f = edges.where(F.col("origin").startswith("field ")).select(F.col("from_id").alias("type_path"), F.expr("substring(origin, 7)").alias("row_name"), F.lit("field").alias("row_kind"))
-    return f.union(calls.where("callee is not null").select("type_path", "row_name", "row_kind")).distinct()
+def field_rows(edges: DataFrame) -> DataFrame:
+    """``type_path``, ``row_name``, ``row_kind``: fields of each type that point at something."""
+    f = edges.where(F.col("origin").startswith("field ")).select(F.col("from_id").alias("type_path"), F.expr("substring(origin, 7)").alias("row_name"))
+    return f.distinct().withColumn("row_kind", F.lit("field"))
+
+
+def callable_rows(calls: DataFrame) -> DataFrame:
+    """The same of callables that call something. ``calls``: ``type_path``, ``row_name``, ``row_kind``, ``callee``."""
+    return calls.where("callee is not null").select("type_path", "row_name", "row_kind").distinct()
 
 
 def first_few(rows: DataFrame, by: str, order: str, limit: int) -> DataFrame:

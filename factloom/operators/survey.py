@@ -62,12 +62,12 @@ def type_counters(types: DataFrame, fields: DataFrame, methods: DataFrame) -> Da
     return out.select("full_path", "kind", "visibility", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts))
 
 
-def type_table(s: Scope, edges: DataFrame) -> DataFrame:
-    """The counters of each type of the scope with its edges in and out, counted over all ``edges``."""
-    p = E.edge_profile(edges).select(F.col("id").alias("full_path"), "in_total", "out_total")
+def type_table(counters: DataFrame, totals: DataFrame) -> DataFrame:
+    """``counters`` of types (``type_counters``) with their edges in and out, of which ``totals`` are the counts
+    (``edges.edge_totals``)."""
+    p = totals.select(F.col("id").alias("full_path"), "in_total", "out_total")
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("in_total", "out_total")]
-    t = type_counters(s.types, s.fields, s.methods)
-    return t.join(p, "full_path", "left").select(*t.columns, *zero)
+    return counters.join(p, "full_path", "left").select(*counters.columns, *zero)
 
 
 def global_counters(s: Scope) -> DataFrame:

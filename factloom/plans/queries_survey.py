@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.operators import edges as E
 from factloom.operators import survey as S
 from factloom.operators.modules import TYPE_KINDS
-from factloom.plans.adapters import read
+from factloom.plans.adapters import named, numbered_edges, read
 from factloom.plans.registry import query
 
 
@@ -63,15 +64,20 @@ _METHOD_COUNTS = ["methods", *(f"self_{k}" for k in S.SELF_KINDS), "methods_unsa
 _TYPES = "SELECT t.full_path, t.kind, t.visibility, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in _FIELD_COUNTS + _METHOD_COUNTS) + " FROM {types} t LEFT JOIN (SELECT type_path, count(*) AS fields, " + _counts("ownership", S.OWNERSHIPS, "fields_") + " FROM {members} GROUP BY 1) f ON f.type_path = t.full_path LEFT JOIN (SELECT owner, count(*) AS methods, " + _counts("self_kind", S.SELF_KINDS, "self_") + ", count(*) FILTER (is_unsafe) AS methods_unsafe, count(*) FILTER (lifetime_flows_through) AS methods_lifetime_flow, CAST(sum(unsafe_blocks) AS BIGINT) AS method_unsafe_blocks FROM {fns} WHERE owner_kind = 'type' GROUP BY 1) m ON m.owner = t.full_path"
 
 
+def _type_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Counters are made before they meet the types, so members need no look-up of their types one by one."""
+    return S.type_counters(read(spark, d, "types"), read(spark, d, "members"), read(spark, d, "fns").where("owner_kind = 'type'"))
+
+
 @query("ag5_type_counters", _TYPES)
 def ag5(spark: SparkSession, d: str) -> DataFrame:
-    s = _scope(spark, d)
-    return S.type_counters(s.types, s.fields, s.methods)
+    return _type_counters(spark, d)
 
 
 @query("ag6_survey_types", "SELECT c.*, coalesce(i.n, 0) AS in_total, coalesce(o.n, 0) AS out_total FROM (" + _TYPES + ") c LEFT JOIN (SELECT to_id, count(*) AS n FROM {edges} GROUP BY 1) i ON i.to_id = c.full_path LEFT JOIN (SELECT from_id, count(*) AS n FROM {edges} GROUP BY 1) o ON o.from_id = c.full_path")
 def ag6(spark: SparkSession, d: str) -> DataFrame:
-    return S.type_table(_scope(spark, d), read(spark, d, "edges"))
+    edges, names = numbered_edges(spark, d)
+    return S.type_table(_type_counters(spark, d), named(E.edge_totals(edges), names, "id"))
 
 
 _BUCKET = "CASE WHEN visibility = 'pub' THEN 'pub' WHEN visibility = 'pub(crate)' THEN 'pub_crate' WHEN visibility = 'pub(super)' THEN 'pub_super' WHEN visibility = 'pub(self)' THEN 'private' WHEN starts_with(visibility, 'pub(') THEN 'pub_in_path' ELSE 'private' END"

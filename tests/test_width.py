@@ -41,3 +41,31 @@ def test_nodes_stay_out_of_the_driver(spark):
     for df in (read(spark, SF, "dag"), entry._core.QUERIES["gr9_forward_split"](spark, SF)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not any(f"BroadcastHashJoin [{key}#" in plan for key in ("l_partkey", "src", "dst"))
+
+
+@pytest.mark.parametrize(("name", "operator"), [("ag1_edge_profile", "edge_profile"), ("ag1_profile_maps", "profile_maps"), ("ag6_survey_types", "edge_totals"), ("ag27_fields_pointing_at", "fields_pointing_at"), ("ag27_member_rows", "field_rows")])
+def test_edges_are_aggregated_by_numbers(spark, monkeypatch, name, operator):
+    """Ends of line items are numbers until the groups are made; directions share one shuffle instead of one row for each."""
+    from factloom.plans import queries_lookups
+
+    met, home = [], Q.E if hasattr(Q.E, operator) else queries_lookups.L
+    monkeypatch.setattr(home, operator, lambda edges, own=getattr(home, operator): met.append(edges) or own(edges))
+    plan = entry._core.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert [dict(x.dtypes)[c] for x in met for c in ("from_id", "to_id")] == ["bigint"] * 2
+    assert name != "ag1_edge_profile" or "Expand" not in plan
+
+
+def test_equal_paths_have_one_number(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from factloom.plans.adapters import named, numbered_edges
+
+    for t in ("region", "nation", "orders", "lineitem", "supplier", "customer"):
+        df = spark.read.parquet(f"{SF}/{t}.parquet")
+        if t == "customer":
+            df = df.withColumn("c_name", F.when(F.col("c_custkey") % 7 > 0, F.concat(F.lit("c"), F.col("c_custkey") % 3))).withColumn("c_nationkey", F.col("c_nationkey") % 2)
+        df.write.parquet(f"{tmp_path}/{t}.parquet")
+    edges, names = numbered_edges(spark, str(tmp_path))
+    got = named(Q.E.edge_profile(edges), names, "id")
+    want = Q.E.edge_profile(Q.read(spark, str(tmp_path), "edges"))
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and want.where("id is null").count() == 1
