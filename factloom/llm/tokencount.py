@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -60,10 +60,11 @@ class PrefixCounter:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.special_at = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pretoken = regex.compile(PATTERN)
-        self.longest = max(map(len, self.vocab))
+        # what ends a token: its number where it is one itself, else -1
+        self.tails = {b[k:]: -1 for b in self.vocab for k in range(len(b))} | self.vocab
         self.stable: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
-        self.words: dict[bytes, np.ndarray] = {}
+        self.words: dict[bytes, tuple[int, ...]] = {}
         self.chunks: dict[str, int] = {}
         self.entries = entries
 
@@ -102,28 +103,57 @@ class PrefixCounter:
             got = self.alone[a] = self.merge(self.bytes_of[a]) == [a]
         return got
 
-    def word(self, w: bytes) -> np.ndarray:
+    def word(self, w: bytes) -> tuple[int, ...]:
         """Tokens of every prefix of a pre-token, from one byte to all."""
         got = self.words.get(w)
-        if got is not None:
-            return got
-        vocab, stable, n = self.vocab, self._stable, len(w)
-        last, count = [0] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
-                t = vocab.get(w[j:i])
-                if t is not None and (stable(last[j], t) if j else self._alone(t)):
-                    last[i], count[i] = t, count[j] + 1
-                    break
-            else:
-                raise ValueError("a byte without a token")
-        got = np.array(count[1:], np.int32)
-        if len(w) <= 256:
+        if got is None:
             if len(self.words) > self.entries:
                 self.words.clear()
-            self.words[w] = got
+            got = self.learn([w])[w]
         return got
 
+    def learn(self, new: Iterable[bytes]) -> dict[bytes, tuple[int, ...]]:
+        """``word`` of each pre-token. They are taken in order, so a prefix that one shares with the one before is not
+        gone over again.
+
+        Of the tokens that end a prefix the longest that is stable behind what is before it counts. They are looked up
+        from the end on, as long as what has been read ends some token."""
+        tails, known, stable, out = self.tails, self.stable, self._stable, {}
+        before, last, count = b"", [0], [0]
+        for w in sorted(new):
+            n, k = len(w), 0
+            for x, y in zip(w, before):  # noqa: B905
+                if x != y:
+                    break
+                k += 1
+            del last[k + 1 :], count[k + 1 :]
+            for i in range(k + 1, n + 1):
+                hits = []
+                for j in range(i - 1, -1, -1):
+                    t = tails.get(w[j:i])
+                    if t is None:
+                        break
+                    if t >= 0:
+                        hits.append((j, t))
+                while hits:
+                    j, t = hits.pop()
+                    if j:
+                        fit = known.get(last[j] << 20 | t)
+                        if fit is None:
+                            fit = stable(last[j], t)
+                    else:
+                        fit = self._alone(t)
+                    if fit:
+                        last.append(t)
+                        count.append(count[j] + 1)
+                        break
+                else:
+                    raise ValueError("a byte without a token")
+            before, out[w] = w, tuple(count[1:])
+            if n <= 256:
+                self.words[w] = out[w]
+        return out
+
     def cut(self, text: str) -> Iterator[tuple[str, bool]]:
         """Pre-tokens in order; true marks special strings."""
         at = 0
@@ -133,16 +163,6 @@ class PrefixCounter:
             at = m.end()
         yield from ((w, False) for w in self.pretoken.findall(text[at:]))
 
-    def _total(self, chunk: str) -> int:
-        got = self.chunks.get(chunk)
-        if got is None:
-            got = sum(1 if s else int(self.word(w.encode())[-1]) for w, s in self.cut(chunk))
-            if len(chunk) <= 256:
-                if len(self.chunks) > self.entries:
-                    self.chunks.clear()
-                self.chunks[chunk] = got
-        return got
-
     def _parts(self, text: str) -> list[str]:
         """Stretches that are cut the same alone as in the text."""
         if _AWKWARD.search(text) or any(s in text for s in self.special):
@@ -150,7 +170,22 @@ class PrefixCounter:
         return _CHUNK.findall(text)
 
     def count(self, text: str | None) -> int:
-        return sum(map(self._total, self._parts(text))) if text else 0
+        return sum(self._totals([text])[0][1]) if text else 0
+
+    def _totals(self, texts: Sequence[str]) -> list[tuple[list[str], list[int]]]:
+        """Parts of each text and their tokens. What is new to all of them is learned at once."""
+        for memo in (self.chunks, self.words):
+            if len(memo) > self.entries:
+                memo.clear()
+        chunks, parts = self.chunks, [self._parts(t) for t in texts]
+        cuts = {p: list(self.cut(p)) for p in {p for ps in parts for p in ps if p not in chunks}}
+        words = {w: w.encode() for cut in cuts.values() for w, special in cut if not special}
+        fresh = self.learn({b for b in words.values() if b not in self.words})
+        size = {w: (fresh.get(b) or self.words[b])[-1] for w, b in words.items()}
+        long = {}
+        for p, cut in cuts.items():
+            (chunks if len(p) <= 256 else long)[p] = sum(1 if special else size[w] for w, special in cut)
+        return [(ps, [chunks[p] if p in chunks else long[p] for p in ps] if long else list(map(chunks.__getitem__, ps))) for ps in parts]
 
     def prefix_counts(self, text: str | None) -> np.ndarray:
         """Entry k: tokens of the first k characters, encoded on their own; entry 0 is 0."""
@@ -164,7 +199,7 @@ class PrefixCounter:
                     out[at + k] = self._open(text, at + k)
                 out[at + len(w)] = before + 1
             else:
-                by = self.word(b)
+                by = np.array(self.word(b))
                 ends = np.cumsum([len(c.encode()) for c in w]) - 1
                 out[at + 1 : at + len(w) + 1] = before + by[ends]
                 plain = len(w) < 2 or not (w[0] == "'" or w.isspace())
@@ -173,7 +208,7 @@ class PrefixCounter:
                         out[at + k] = self._open(text, at + k)
                 if w[0] == " " and held.isspace() and held:  # the space joins the white space before it
                     out[at + 1] = self._open(text, at + 1)
-            at, before, held = at + len(w), before + (1 if special else int(self.word(b)[-1])), w
+            at, before, held = at + len(w), before + (1 if special else self.word(b)[-1]), w
             if w.isspace() and at < len(text):
                 out[at] = self._open(text, at)
         return out
@@ -194,21 +229,34 @@ class PrefixCounter:
     def fits(self, text: str | None, budget: int) -> int:
         """Most leading characters, up to the end of a pre-token or inside the one where the budget ends, that
         have at most ``budget`` tokens. Pre-tokens are summed; only the last is looked into."""
+        return next(self.counts_and_fits([text], budget))[1]
+
+    def counts_and_fits(self, texts: Sequence[str | None], budget: int, group_chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+        """``count`` and ``fits`` of each text in one pass, for bounded groups of texts."""
+        group, size = [], 0
+        for k, text in enumerate(texts, 1):
+            group.append(text or "")
+            size += len(group[-1])
+            if size > group_chars or k == len(texts):
+                for t, (parts, totals) in zip(group, self._totals(group), strict=True):
+                    whole = sum(totals)
+                    yield whole, len(t) if whole <= budget else self._cut_at(parts, totals, budget)
+                group, size = [], 0
+
+    def _cut_at(self, parts: list[str], totals: list[int], budget: int) -> int:
         at = used = 0
-        text = text or ""
-        for part in self._parts(text):
-            n = self._total(part)
+        for part, n in zip(parts, totals, strict=True):
             if used + n > budget:
                 for w, special in self.cut(part):
-                    c = 1 if special else int(self.word(w.encode())[-1])
+                    c = 1 if special else self.word(w.encode())[-1]
                     if used + c > budget:
                         if not special and not w.isspace() and w[0] != "'":
-                            by = self.word(w.encode())[np.cumsum([len(x.encode()) for x in w]) - 1]
+                            by = np.array(self.word(w.encode()))[np.cumsum([len(x.encode()) for x in w]) - 1]
                             at += int(np.flatnonzero(used + by <= budget).max(initial=-1)) + 1
                         return at
                     used, at = used + c, at + len(w)
             used, at = used + n, at + len(part)
-        return len(text)
+        return at
 
 
 @lru_cache(maxsize=2)
@@ -226,8 +274,9 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", token
         c = counter(vocabulary(tokenizer, folder))
         for b in batches:
             texts: Sequence[str | None] = b.column(1).to_pylist()
-            n = [c.count(t) for t in texts]
-            cols = [b.column(0), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array([len(t or "") if x <= limit else c.fits(t, limit) for t, x in zip(texts, n, strict=True)], pa.int64())]
+            both = list(c.counts_and_fits(texts, limit))
+            n = [x for x, _ in both]
+            cols = [b.column(0), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array([x for _, x in both], pa.int64())]
             if prefixes:
                 cols.append(pa.array([c.prefix_counts(t).astype(np.int32) for t in texts], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, names=[key, "n_bytes", "n_tokens", "over_limit", "fit_chars", "prefix_counts"][: len(cols)])
