@@ -227,14 +227,17 @@ def ownership_forest(edges: DataFrame, nodes: DataFrame | None = None, group: st
         rows = rows.union(nodes.select(group, F.col("node").alias("src"), F.lit(None).cast(kind).alias("dst")))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        # sorted lists, made once: sets of a few members each take many times their room
+        every = set(pdf["src"])
+        links = pdf[["src", "dst"]].dropna().drop_duplicates().sort_values(["src", "dst"])
+        links = links[links["src"] != links["dst"]]
         out: dict = {}
         owners: dict = {}
-        every = set(pdf["src"])
-        for s, d in pdf[["src", "dst"]].dropna().itertuples(index=False):
-            if s != d:
-                out.setdefault(s, set()).add(d)
-                owners.setdefault(d, set()).add(s)
-                every.add(d)
+        for s, d in links.itertuples(index=False):
+            out.setdefault(s, []).append(d)
+            owners.setdefault(d, []).append(s)
+        every.update(owners)
+        del links
         size = {}
         for r in every - set(owners):
             seen, todo = {r}, [r]
@@ -255,10 +258,10 @@ def ownership_forest(edges: DataFrame, nodes: DataFrame | None = None, group: st
                     rows.append((depth, node, f"expanded above under {first[node]}"))
                     continue
                 first[node] = parent if parent is not None else node
-                others = sorted(o for o in owners.get(node, ()) if o != parent)
+                others = [o for o in owners.get(node, ()) if o != parent]
                 note = ("also owned by " + ", ".join(map(str, others[:3])) + (f" +{len(others) - 3} more" if len(others) > 3 else "")) if others else ""
                 rows.append((depth, node, note))
-                stack += [(c, depth + 1, node) for c in sorted(out.get(node, ()), reverse=True)]
+                stack += [(c, depth + 1, node) for c in reversed(out.get(node, ()))]
         rows += [(0, r, "leaf root") for r in sorted(x for x, n in size.items() if not n)]
         columns = {group: [pdf[group].iloc[0]] * len(rows), "seq": range(len(rows)), "depth": [r[0] for r in rows], "node": [r[1] for r in rows], "note": [r[2] for r in rows]}
         return pd.DataFrame({k: pd.Series(list(v), dtype=object) for k, v in columns.items()})
