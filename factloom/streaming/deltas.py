@@ -13,7 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -30,27 +30,41 @@ def keyed_state(spark: SparkSession) -> None:
     ship(spark)
 
 
+BUCKETS = 1024
+
+
+def in_buckets(rows: DataFrame, key: str, buckets: int = BUCKETS) -> GroupedData:
+    """``rows`` grouped for a keyed processor by ``bucket``, a hash of ``key``, with the key as a string, in which a null
+    beside it costs no digits. A call of a processor costs milliseconds whatever it holds, so it serves all keys of a bucket; its
+    state is a map with one entry per key, of which a batch reads and writes those it names. A bucket's rows of a batch
+    are in memory at once. A checkpoint keeps its number of buckets."""
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).withColumn(key, F.col(key).cast("string")).groupBy("bucket")
+
+
 class _Changes(StatefulProcessor):
-    """Last version and rows of a file; a deletion leaves its version, so that an older one cannot come back."""
+    """Last version and rows of each file; a deletion leaves its version, so that an older one cannot come back."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", "version long, rows string")
+        self._last = handle.getMapState("last", "file string", "version long, rows string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        version, newest = None, None
+        newest: dict = {}
         for pdf in rows:
-            for v, r in zip(pdf["version"], pdf["rows"], strict=True):
-                if version is None or v > version:
-                    version, newest = int(v), r
-        before = self._last.get() if self._last.exists() else None
-        if before is not None and before[0] >= version:
-            return
-        newest = newest if isinstance(newest, str) else "[]"
-        change = Counter(json.dumps(x) for x in json.loads(newest))
-        change.subtract(json.dumps(x) for x in json.loads(before[1] if before else "[]"))
-        self._last.update((version, newest))
-        out = [(r, n) for r, n in change.items() if n]
-        yield pd.DataFrame({"file": [key[0]] * len(out), "row": pd.Series([r for r, _ in out], dtype=object), "weight": pd.Series([n for _, n in out], dtype="int64")})
+            for f, v, r in zip(pdf["file"].tolist(), pdf["version"].tolist(), pdf["rows"].tolist(), strict=True):
+                f = f if isinstance(f, str) else None
+                if f not in newest or v > newest[f][0]:
+                    newest[f] = (int(v), r)
+        known, out = self._last.exists(), []
+        for file, (version, now) in newest.items():
+            before = self._last.getValue((file,)) if known else None
+            if before is not None and before[0] >= version:
+                continue
+            now = now if isinstance(now, str) else "[]"
+            change = Counter(json.dumps(x) for x in json.loads(now))
+            change.subtract(json.dumps(x) for x in json.loads(before[1] if before else "[]"))
+            self._last.updateValue((file,), (version, now))
+            out += [(file, r, n) for r, n in change.items() if n]
+        yield pd.DataFrame(out, columns=["file", "row", "weight"]).astype({"file": object, "row": object, "weight": "int64"})
 
     def close(self) -> None:
         pass
@@ -60,8 +74,9 @@ def signed_changes(versions: DataFrame) -> DataFrame:
     """``file``, ``row`` (JSON) and ``weight`` from a stream of ``file``, ``version`` and ``rows`` (a JSON list; null
     deletes). Of several versions in a batch the last counts; one that is not newer than the known one changes nothing."""
     keyed_state(versions.sparkSession)
-    kind = versions.schema["file"].dataType.simpleString()
-    return versions.groupBy("file").transformWithStateInPandas(_Changes(), f"file {kind}, row string, weight long", "Update", "None")
+    kind = versions.schema["file"].dataType
+    out = in_buckets(versions.select("file", "version", "rows"), "file").transformWithStateInPandas(_Changes(), "file string, row string, weight long", "Update", "None")
+    return out.withColumn("file", F.col("file").cast(kind))
 
 
 class DeltaViews:

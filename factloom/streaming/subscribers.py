@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from factloom.streaming.deltas import keyed_state
+from factloom.streaming.deltas import in_buckets, keyed_state
 
 CAPACITY = 16
 
@@ -28,25 +30,30 @@ class _Mailbox(StatefulProcessor):
         self.capacity = capacity
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("mailbox", "events string, missed long")
+        self._boxes = handle.getMapState("mailbox", "subscriber string", "events string, missed long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held, missed = self._state.get() if self._state.exists() else ("[]", 0)
-        held, out = json.loads(held), []
-        for r in _in_order(rows, ["at", "event_id"]):
-            if not r.poll:
-                held.append(int(r.event_id))
-                if len(held) > self.capacity:
-                    del held[0]
-                    missed += 1
-                continue
-            if missed:
-                out.append((key[0], int(r.event_id), 0, None, missed))
-            out += [(key[0], int(r.event_id), k, e, 0) for k, e in enumerate(held, 1)]
-            held, missed = [], 0
-        self._state.update((json.dumps(held), int(missed)))
-        frame = pd.DataFrame(out, columns=["subscriber", "poll_id", "place", "event_id", "missed"])
-        yield frame.astype({"subscriber": "int64", "poll_id": "int64", "place": "int32", "event_id": "Int64", "missed": "int64"})
+        arrived = pd.concat(list(rows)).sort_values(["subscriber", "at", "event_id"], kind="stable")
+        arrived = zip(*(arrived[c].tolist() for c in ("subscriber", "event_id", "poll")), strict=True)
+        out = []
+        for subscriber, events in groupby(arrived, lambda r: r[0] if isinstance(r[0], str) else None):
+            held, missed = self._boxes.getValue((subscriber,)) or ("[]", 0)
+            held = json.loads(held)
+            for _, event, poll in events:
+                if not poll:
+                    held.append(event)
+                    if len(held) > self.capacity:
+                        del held[0]
+                        missed += 1
+                    continue
+                if missed:
+                    out.append((subscriber, event, 0, None, missed))
+                out += [(subscriber, event, k, e, 0) for k, e in enumerate(held, 1)]
+                held, missed = [], 0
+            self._boxes.updateValue((subscriber,), (json.dumps(held), missed))
+        columns = list(zip(*out, strict=True)) if out else [()] * 5
+        kinds = {"subscriber": object, "poll_id": "int64", "place": "int32", "event_id": "Int64", "missed": "int64"}
+        yield pd.DataFrame({c: pd.Series(v, dtype=k) for (c, k), v in zip(kinds.items(), columns, strict=True)})
 
     def close(self) -> None:
         pass
@@ -56,8 +63,10 @@ def bounded_delivery(events: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """What each poll returns: ``subscriber``, ``poll_id``, ``place``, ``event_id``, ``missed``. A stream of ``subscriber``,
     ``at``, ``event_id`` and ``poll``. Place 0 without an event is the resync, with how many were lost since the last poll."""
     keyed_state(events.sparkSession)
-    out = "subscriber long, poll_id long, place int, event_id long, missed long"
-    return events.select("subscriber", "at", "event_id", "poll").groupBy("subscriber").transformWithStateInPandas(_Mailbox(capacity), out, "Update", "None")
+    kind = events.schema["subscriber"].dataType
+    out = "subscriber string, poll_id long, place int, event_id long, missed long"
+    done = in_buckets(events.select("subscriber", "at", "event_id", "poll"), "subscriber").transformWithStateInPandas(_Mailbox(capacity), out, "Update", "None")
+    return done.withColumn("subscriber", F.col("subscriber").cast(kind))
 
 
 class _Reloads(StatefulProcessor):

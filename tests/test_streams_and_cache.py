@@ -7,6 +7,8 @@ import time
 import uuid
 from collections import Counter
 
+import pandas as pd
+
 from factloom.operators import graph as G
 from factloom.session import shared_dir
 from factloom.sources import extract as X
@@ -190,3 +192,41 @@ def test_reloads_coalesce(spark):
         q.awaitTermination()
     got = sorted((r.subscriber, r.start_ms // 1000, r.queued) for r in spark.read.parquet(f"{place}/out").collect())
     assert (sorted(set(got) - set(want)), sorted(set(want) - set(got))) == ([], []) and got == sorted(want)
+
+
+class _Handle:
+    """State of one bucket in memory."""
+
+    def getMapState(self, *_):
+        self.held = {}
+        self.exists, self.getValue, self.updateValue = lambda: bool(self.held), self.held.get, self.held.__setitem__
+        return self
+
+
+def test_a_call_of_a_keyed_processor_serves_many_keys():
+    p, handle = deltas._Changes(), _Handle()
+    p.init(handle)
+    one = lambda v: pd.DataFrame({"file": ["a", "b", None], "version": [v] * 3, "rows": ['[{"n": %d}]' % v, '[{"n": 0}]', None]})
+    rows = lambda v: sorted(map(tuple, pd.concat(p.handleInputRows((0,), iter([one(v)]), None))[["file", "row", "weight"]].values.tolist()))
+    assert rows(1) == [("a", '{"n": 1}', 1), ("b", '{"n": 0}', 1)]
+    assert rows(2) == [("a", '{"n": 1}', -1), ("a", '{"n": 2}', 1)] and rows(2) == []
+    assert set(handle.held) == {("a",), ("b",), (None,)}
+    m, handle = subscribers._Mailbox(1), _Handle()
+    m.init(handle)
+    parts = [pd.DataFrame({"subscriber": ["a", "b", "a"], "at": [3, 1, 1], "event_id": [3, 5, 1], "poll": [True, True, False]}), pd.DataFrame({"subscriber": ["a", "b"], "at": [2, 2], "event_id": [2, 6], "poll": [False, False]})]
+    got = pd.concat(m.handleInputRows((0,), iter(parts), None))
+    assert [tuple(None if x is pd.NA else x for x in r) for r in got.itertuples(index=False)] == [("a", 3, 0, None, 1), ("a", 3, 1, 2, 0)]
+    assert handle.held == {("a",): ("[]", 0), ("b",): ("[6]", 0)}
+
+
+def test_keys_of_a_bucket_stay_apart(spark):
+    keys, place = [*range(40), *(2**53 + i for i in range(40)), None], _place(spark)
+    for version in (1, 2):
+        rows = [(k, version, json.dumps([{"n": version if k is None or k % 3 == 0 else 0}])) for k in keys]
+        spark.createDataFrame(rows, "file long, version long, rows string").write.mode("append").parquet(f"{place}/feed")
+        feed = spark.readStream.schema("file long, version long, rows string").parquet(f"{place}/feed")
+        sink = deltas.signed_changes(feed).writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{place}/out/epoch={n}"))
+        sink.option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    changed = [k for k in keys if k is None or k % 3 == 0]
+    want = Counter([(k, '{"n": 0}', 1) for k in keys if k not in changed] + [(k, '{"n": %d}' % n, w) for k in changed for n, w in ((1, 1), (1, -1), (2, 1))])
+    assert Counter(tuple(r) for r in spark.read.parquet(f"{place}/out").select("file", "row", "weight").collect()) == want
