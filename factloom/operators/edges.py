@@ -119,7 +119,7 @@ def field_edges(types: DataFrame, fields: DataFrame, resolve) -> DataFrame:
     """Edges of fields: every resolved reference of an owning or borrowing field; self loops go.
 
     ``resolve(refs)`` adds ``target`` to rows with ``ref_id``, ``source`` and ``name``."""
-    t = types.select("full_path", F.col("kind").alias("type_kind"))
+    t = types.select("full_path", F.col("kind").alias("type_kind")).distinct()
     rows = fields.join(t, fields["type_path"] == t["full_path"]).withColumn("edge_kind", kind_of_ownership("ownership")).withColumn("via", via_of_type("type_kind"))
     rows = rows.where("edge_kind is not null and via is not null")
     refs = rows.select(F.col("type_path").alias("source"), F.concat(F.lit("field "), F.col("name")).alias("origin"), F.col("edge_kind"), F.col("via"), F.posexplode("refs").alias("pos", "r"), F.col("ord"))

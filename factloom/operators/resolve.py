@@ -35,11 +35,18 @@ def _nearest(keys: DataFrame, known: DataFrame) -> DataFrame:
 
 def resolve_types(refs: DataFrame, known: DataFrame) -> DataFrame:
     """References (``ref_id``, ``source``, ``name``, …) with ``target``: one candidate is taken as it is, of several
-    all those whose module shares the longest prefix with the source stay (all, if none shares any). A name is
-    resolved once for each source; references without a name or a source have no target."""
-    keys = refs.where("source is not null").select(F.col("name").alias("_name"), F.col("source").alias("_at")).distinct()
-    found = _nearest(keys, known)
-    return refs.join(found, (F.col("name") == F.col("_name")) & (F.col("source") == F.col("_at"))).select(*refs.columns, "target")
+    all those whose module shares the longest prefix with the source stay (all, if none shares any). Only names of
+    several candidates are compared by prefixes, once for each source; references without a name or a source have no target."""
+    ends = known.where("name is not null").groupBy(F.col("name").alias("_k")).agg(F.min("path").alias("target"), F.max("path").alias("_last"))
+    one = ends.where("target = _last").select("_k", "target")
+    out = refs.where("source is not null").join(one, F.col("name") == F.col("_k")).select(*refs.columns, "target")
+    several = ends.where("target <> _last").select("_k")
+    if several.isEmpty():  # references are then shuffled once
+        return out
+    rest = refs.where("source is not null").join(several, F.col("name") == F.col("_k"), "left_semi")
+    keys = rest.select(F.col("name").alias("_name"), F.col("source").alias("_at")).distinct()
+    found = _nearest(keys, known.join(several, F.col("name") == F.col("_k"), "left_semi"))
+    return out.union(rest.join(found, (F.col("name") == F.col("_name")) & (F.col("source") == F.col("_at"))).select(*refs.columns, "target"))
 
 
 def resolve_reexports(exports: DataFrame, types: DataFrame, functions: DataFrame) -> DataFrame:

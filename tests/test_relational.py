@@ -334,3 +334,20 @@ def test_bucketed_overlaps_of_reversed_spans(spark):
     want = sorted((f, i, a, b, any(f == g and None not in (a, b) and a <= z and b >= y for g, y, z in [tuple(r) for r in h.collect()])) for f, i, a, b in rows if f)
     for found in (spans.overlaps(s, h), spans.bucketed_overlaps(s, h)):
         assert {tuple(r) for r in found.where("file is not null").collect()} == set(want)
+
+
+def test_only_names_of_several_types_are_compared_by_prefixes(spark):
+    known = spark.createDataFrame([("A", "c::x::A", 0), ("A", "c::y::A", 1), ("B", "c::B", 2), (None, "c::N", 3)], "name string, path string, ord int")
+    refs = spark.createDataFrame([(1, "c::y::S", "A"), (2, "c::z::S", "A"), (3, "d::S", "B"), (4, None, "B"), (5, "d::S", None), (6, "d::S", "C")], "ref_id int, source string, name string")
+    targets = lambda df: sorted((r.ref_id, r.target) for r in df.collect())
+    assert targets(resolve.resolve_types(refs, known)) == [(1, "c::y::A"), (2, "c::x::A"), (2, "c::y::A"), (3, "c::B")]
+    unique = resolve.resolve_types(refs, known.where("ord > 0"))
+    assert targets(unique) == [(1, "c::y::A"), (2, "c::y::A"), (3, "c::B")]
+    assert "Generate" not in unique._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_type_told_twice_has_its_fields_once(spark):
+    types = spark.createDataFrame([("c::A", "struct"), ("c::A", "struct")], "full_path string, kind string")
+    fields = spark.createDataFrame([("c::A", "b", "owned", [("B", "one")], 0)], "type_path string, name string, ownership string, refs array<struct<name: string, cardinality: string>>, ord int")
+    known = spark.createDataFrame([("B", "c::B", 1)], "name string, path string, ord int")
+    assert edges.field_edges(types, fields, lambda x: resolve.resolve_types(x, known)).count() == 1
