@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.session import freeze, ship
@@ -24,71 +24,138 @@ def reachable(edges: DataFrame, limit: int = 200) -> DataFrame:
     raise RuntimeError("closure did not settle")
 
 
-def _one_bits(rows: DataFrame, by: str, number: str) -> DataFrame:
-    """Bitmaps of the numbers of each group, one per block of 32,768 numbers."""
-    return rows.groupBy(by, F.bitmap_bucket_number(number).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
+#: Members of a reachable set that one row holds; numbers that a component gathers as arrays, at most; members up to which a set
+#: stays an array in a graph of any size. In a large one it does up to one in 32 of all numbers, from where bitmaps are smaller.
+CHUNK, GATHER, FEW = 1 << 12, 1 << 20, 1 << 14
 
 
-def reachable_bitmaps(edges: DataFrame, nodes: DataFrame | None = None, merge_every: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Reachable sets without their pairs: ``node``, ``scc``, ``number`` of every node, and ``scc``, ``block``, ``bits``.
+def _one_bits(rows: DataFrame) -> DataFrame:
+    """Bitmaps of the numbers of each ``scc``, one per block of 32,768 numbers."""
+    return rows.groupBy("scc", F.bitmap_bucket_number("number").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
 
-    A set holds the numbers of the nodes that a component reaches, its own nodes among them, as bitmaps of 32,768
-    numbers each. Strong components are made one node; then, from the sinks up, a component's set is the union of its
-    own and its successors' sets. Each set is made once, after those it needs, and unions are pre-aggregated, so the
-    bitmaps that an edge moves never leave their task one by one. Nothing is kept but one bit for a pair, in blocks that hold one."""
+
+def _all_of(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.union(more)
+    return out
+
+
+def _in_order(placed: DataFrame) -> tuple[DataFrame, int]:
+    """``node``, ``scc`` and ``number``, from 1 without gaps in the order of ``scc`` and ``node``; and how many there are."""
+    runs = freeze(placed.sort("scc", "node").select("node", "scc", F.monotonically_increasing_id().alias("_id")), "ordered")
+    total = runs.count()
+    sizes = runs.groupBy(F.shiftright("_id", 33).alias("_run")).agg(F.count("*").alias("_n"))  # one row for each partition
+    starts = sizes.select("_run", (F.sum("_n").over(Window.orderBy("_run")) - F.col("_n") + 1).alias("_start"))
+    number = F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = runs.join(F.broadcast(starts), F.shiftright("_id", 33) == F.col("_run"))
+    return freeze(placed.select("node", "scc", number.cast("int" if total < 1 << 31 else "long").alias("number")), "numbered"), total
+
+
+def reachable_sets(edges: DataFrame, nodes: DataFrame | None = None, keep: bool = True, merge_every: int = 8) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Reachable sets without their pairs: ``node``, ``scc``, ``number`` of every node; ``scc``, ``part``, ``size``, ``dense``,
+    ``few``; and ``scc``, ``block``, ``bits``, None if no set is dense.
+
+    A set holds the numbers of the nodes that a component reaches, its own nodes among them. It is the arrays ``few``, in
+    parts of ``CHUNK`` members from part 0, so that its room follows from its members, wherever they lie; or, if ``dense``, bitmaps
+    of 32,768 numbers each. ``size`` is that of the whole set. Unless ``keep``, sets that no other one needs are only counted.
+
+    Strong components are made one node; then, from the sinks up, a component's set is the union of its own and its
+    successors' sets. Each set is made once, after those it needs. A component gathers up to ``GATHER`` numbers as arrays; if
+    there are more or a successor is dense, bitmaps are united, which are pre-aggregated, so that none leaves its task for one edge."""
+    edges = freeze(edges.select("src", "dst"), "edges")  # read five times below; a caller's may be a join of large tables
     every = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
     every = every.union(nodes.select("node")) if nodes is not None else every
     every = freeze(every.where("node is not null").distinct(), "nodes")
     scc = strong_components(edges.where("src is not null and dst is not null"))
-    # in order of their components, so that sets that share members share blocks
-    placed = every.join(scc, "node", "left").withColumn("scc", F.coalesce("scc", "node"))
-    numbered = freeze(placed.sort("scc", "node").withColumn("number", F.monotonically_increasing_id()), "numbered")
-    a, b = (numbered.select(F.col("node").alias(n), F.col("scc").alias(c)) for n, c in (("_a", "up"), ("_b", "down")))
+    # in order of their components, so that the numbers of one are a range and sets that share members share blocks
+    numbered, total = _in_order(every.join(scc, "node", "left").withColumn("scc", F.coalesce("scc", "node")))
+    a, b = (numbered.select(F.col("node").alias(n), F.col("scc").alias(c)).hint("merge") for n, c in (("_a", "up"), ("_b", "down")))
     links = freeze(edges.join(a, F.col("src") == F.col("_a")).join(b, F.col("dst") == F.col("_b")).where("up <> down").select("up", "down").distinct(), "component_links")
-    tops = numbered.select(F.col("scc").alias("node")).distinct()
-    height = freeze(longest_depth(links.select(F.col("down").alias("src"), F.col("up").alias("dst")), tops).withColumnRenamed("node", "of"), "height")
-    links = freeze(links.join(height, F.col("up") == F.col("of")).select("up", "down", "depth"), "links_by_height")
-    own = freeze(_one_bits(numbered, "scc", "number").join(height, F.col("scc") == F.col("of")).select("scc", "block", "bits", "depth"), "own_bits")
-    done = [own.where("depth = 0").drop("depth")]
-    for level in range(1, (height.agg(F.max("depth")).first()[0] or 0) + 1):
-        below = done[0]
-        for more in done[1:]:
-            below = below.union(more)
-        moved = links.where(F.col("depth") == level).join(below.withColumnRenamed("scc", "down"), "down").select(F.col("up").alias("scc"), "block", "bits")
-        grown = moved.union(own.where(F.col("depth") == level).drop("depth")).groupBy("scc", "block").agg(F.bitmap_or_agg("bits").alias("bits"))
-        done.append(freeze(grown, "reached_bits"))
-        if len(done) > merge_every:  # keeps the plan of a deep graph short
-            merged = done[0]
-            for more in done[1:]:
-                merged = merged.union(more)
-            done = [freeze(merged, "reached_bits")]
-    out = done[0]
-    for more in done[1:]:
-        out = out.union(more)
-    return numbered, out
+    own = numbered.groupBy("scc").agg(F.min("number").alias("first"), F.max("number").alias("last"))
+    height = freeze(longest_depth(links.select(F.col("down").alias("src"), F.col("up").alias("dst")), own.select(F.col("scc").alias("node"))).withColumnRenamed("node", "of"), "height")
+    links = freeze(links.join(height.hint("merge"), F.col("up") == F.col("of")).select("up", "down", "depth"), "links_by_height")
+    asked = links.select(F.col("down").alias("_d")).distinct().hint("merge")
+    own = own.join(height.hint("merge"), F.col("scc") == F.col("of")).join(asked, F.col("scc") == F.col("_d"), "left")
+    own = freeze(own.select("scc", "first", "last", "depth", F.lit(True) if keep else F.col("_d").isNotNull()).toDF("scc", "first", "last", "depth", "asked"), "own")
+    # for each height, so that levels on which nothing can be large are not searched for it
+    most = dict(links.groupBy("up", "depth").count().groupBy("depth").agg(F.max("count")).collect())
+    longest = dict(own.groupBy("depth").agg(F.max(F.col("last") - F.col("first") + 1)).collect())
+    limit, largest = max(FEW, total // 32), 0
+    sets: list[DataFrame] = []
+    bits: list[DataFrame] = []
+    for level in range(max(longest, default=0) + 1):
+        at, mine = links.where(F.col("depth") == level), own.where(F.col("depth") == level)
+        below = _all_of(sets).withColumnRenamed("scc", "_s") if sets else None
+        reach = min(total, longest.get(level, 0) + most.get(level, 0) * largest)
+        wide = None
+        if bits or longest.get(level, 0) + most.get(level, 0) * largest > GATHER:
+            wide = mine.where(F.col("last") - F.col("first") >= GATHER).select("scc")
+            if below is not None:
+                heads = below.where("part = 0").select("_s", "size", "dense")
+                weight = at.join(heads.hint("merge"), F.col("down") == F.col("_s")).groupBy(F.col("up").alias("scc")).agg(F.sum("size").alias("size"), F.max("dense").alias("dense"))
+                wide = wide.union(weight.where(F.col("dense") | (F.col("size") > GATHER)).select("scc")).distinct()
+            wide = freeze(wide, "wide")
+            wide = None if wide.isEmpty() else wide
+        narrow = at if wide is None else at.join(wide.hint("merge"), F.col("up") == F.col("scc"), "left_anti")
+        arrays = (mine if wide is None else mine.join(wide.hint("merge"), "scc", "left_anti")).select("scc", "asked", F.sequence("first", "last").alias("few"))
+        if below is not None:
+            moved = narrow.join(below.where("not dense").select("_s", "few").hint("merge"), F.col("down") == F.col("_s")).select(F.col("up").alias("scc"), F.lit(False).alias("asked"), "few")
+            arrays = arrays.union(moved).groupBy("scc").agg(F.max("asked").alias("asked"), F.array_distinct(F.flatten(F.collect_list("few"))).alias("few"))
+        size = F.size("few")
+        cut = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / CHUNK).cast("int")), lambda i: F.slice("few", i * CHUNK + 1, CHUNK))
+        none = F.array(F.lit(None).cast(arrays.schema["few"].dataType))
+        parts = F.posexplode(F.when(F.col("asked"), cut).otherwise(none)).alias("part", "few")
+        made = freeze(arrays.select("scc", size.cast("long").alias("size"), (F.col("asked") & (size > limit)).alias("dense"), parts).select("scc", "part", "size", "dense", "few"), "reached")
+        sets.append(made)
+        if reach > limit and not made.where("dense").isEmpty():
+            bits.append(freeze(_one_bits(made.where("dense").select("scc", F.explode("few").alias("number"))), "reached_bits"))
+        if wide is not None:
+            united = [_one_bits(numbered.join(wide.hint("merge"), "scc", "left_semi"))]
+            if below is not None:
+                broad = at.join(wide.hint("merge"), F.col("up") == F.col("scc"), "left_semi")
+                single = broad.join(below.where("not dense").select("_s", "few").hint("merge"), F.col("down") == F.col("_s"))
+                united.append(_one_bits(single.select(F.col("up").alias("scc"), F.explode("few").alias("number"))))
+                if bits:
+                    united.append(broad.join(_all_of(bits).withColumnRenamed("scc", "_s").hint("merge"), F.col("down") == F.col("_s")).select(F.col("up").alias("scc"), "block", "bits"))
+            bits.append(freeze(_all_of(united).groupBy("scc", "block").agg(F.bitmap_or_agg("bits").alias("bits")), "reached_bits"))
+            heads = bits[-1].groupBy("scc").agg(F.sum(F.bitmap_count("bits")).alias("size"))
+            sets.append(freeze(heads.select("scc", F.lit(0).alias("part"), "size", F.lit(True).alias("dense"), F.lit(None).cast(made.schema["few"].dataType).alias("few")), "reached"))
+        if reach > FEW:
+            reach = max(s.agg(F.max("size")).first()[0] or 0 for s in sets[-2 if wide is not None else -1 :])
+        largest = max(largest, reach)
+        if len(sets) > merge_every:  # keeps the plan of a deep graph short
+            sets = [freeze(_all_of(sets), "reached")]
+        if len(bits) > merge_every:
+            bits = [freeze(_all_of(bits), "reached_bits")]
+    return numbered, _all_of(sets), _all_of(bits) if bits else None
 
 
 def closure_size(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Distinct nodes that each node reaches, itself left out."""
-    numbered, sets = reachable_bitmaps(edges, nodes)
-    size = sets.groupBy(F.col("scc").alias("_s")).agg((F.sum(F.bitmap_count("bits")) - 1).alias("size"))
+    numbered, sets, _ = reachable_sets(edges, nodes, keep=False)
+    size = sets.where("part = 0").select(F.col("scc").alias("_s"), (F.col("size") - 1).alias("size"))
     return numbered.join(size, F.col("scc") == F.col("_s")).select("node", F.col("size").cast("long").alias("size"))
 
 
 def reaches(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """``pairs`` (src, dst) with ``reached``: whether a path leads from one node to another one, or to itself by a cycle."""
-    numbered, sets = reachable_bitmaps(edges)
+    numbered, sets, bits = reachable_sets(edges)
     n = numbered.select(F.col("node").alias("_n"), F.col("scc").alias("_c"), "number")
     members = numbered.groupBy("scc").agg(F.count("*").alias("members"))
     loops = edges.where("src = dst").select(F.col("src").alias("_l")).distinct()
     p = pairs.join(n.select(F.col("_n").alias("src"), F.col("_c").alias("scc")), "src", "left").join(members, "scc", "left").join(loops, F.col("src") == F.col("_l"), "left")
-    p = p.join(n.select(F.col("_n").alias("dst"), "number"), "dst", "left").withColumn("block", F.bitmap_bucket_number("number"))
-    place = F.bitmap_bit_position("number")
-    j = p.join(sets, ["scc", "block"], "left")
-    octet = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
-    bit = F.expr("shiftright(octet, cast(place % 8 as int)) & 1 = 1")
-    j = j.withColumn("octet", octet).withColumn("place", place)
-    own = F.when(F.col("src") == F.col("dst"), F.col("_l").isNotNull() | (F.col("members") > 1)).otherwise(bit)
+    p = p.join(n.select(F.col("_n").alias("dst"), "number"), "dst", "left")
+    asked = p.select("scc", "number").dropna().distinct()
+    hit = asked.join(sets.where("not dense").select("scc", "few"), "scc").where(F.array_contains("few", F.col("number"))).select("scc", "number")
+    if bits is not None:
+        place = F.bitmap_bit_position("number")
+        octet = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
+        found = asked.withColumn("block", F.bitmap_bucket_number("number")).join(bits, ["scc", "block"])
+        found = found.withColumn("octet", octet).withColumn("place", place)
+        hit = hit.union(found.where("shiftright(octet, cast(place % 8 as int)) & 1 = 1").select("scc", "number"))
+    j = p.join(hit.withColumn("_hit", F.lit(True)), ["scc", "number"], "left")
+    own = F.when(F.col("src") == F.col("dst"), F.col("_l").isNotNull() | (F.col("members") > 1)).otherwise(F.col("_hit"))
     return j.select("src", "dst", F.coalesce(own, F.lit(False)).alias("reached"))
 
 

@@ -10,7 +10,7 @@ from collections import Counter
 import pandas as pd
 
 from factloom.operators import graph as G
-from factloom.session import shared_dir
+from factloom.session import freeze, shared_dir
 from factloom.sources import extract as X
 from factloom.sources import incremental as I
 from factloom.streaming import deltas, subscribers
@@ -47,6 +47,30 @@ def test_reachable_sets(spark):
     assert hit == {(a, b): b in want.get(a, ()) for a, b in pairs}
 
 
+def test_reachable_sets_by_every_route(spark, monkeypatch):
+    # rows of three members, and sets that become bitmaps by their size, by what they gather and by a dense successor
+    for name, value in (("CHUNK", 3), ("GATHER", 12), ("FEW", 6)):
+        monkeypatch.setattr(G, name, value)
+    rng = random.Random(2)
+    edges = [(rng.randrange(24), rng.randrange(24)) for _ in range(26)] + [(100 + i, 101 + i) for i in range(9)] + [(200, 300 + i) for i in range(14)] + [(199, 200), (100, 3), (7, 7)]
+    edges += [(400 + i, 400 + (i + 1) % 14) for i in range(14)] + [(400, 500), (398, 405)]
+    df, want = spark.createDataFrame(edges, "src long, dst long"), _reach(edges)
+    assert {r.node: r.size for r in G.closure_size(df).collect()} == {k: len(v - {k}) for k, v in want.items()}
+    pairs = [(rng.choice(list(want)), rng.choice(list(want))) for _ in range(90)] + [(100, 109), (109, 100), (199, 313), (398, 500), (500, 398), (410, 410), (7, 7), (109, 109)]
+    hit = sorted((r.src, r.dst, r.reached) for r in G.reaches(spark.createDataFrame(pairs, "src long, dst long"), df).collect())
+    assert hit == sorted((a, b, b in want[a]) for a, b in pairs)
+
+
+def test_reachable_sets_take_room_by_their_members(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(G, "freeze", lambda df, name: tables.append(freeze(df, name)) or tables[-1])
+    edges = spark.range(1500).selectExpr("id AS src", "1500 + (id * 7919) % 1500 AS dst")
+    assert G.closure_size(edges).groupBy("size").count().sort("size").collect() == [(0, 1500), (1, 1500)]
+    room = {"bits": "octet_length(bits)", "few": "4 * size(few)"}
+    taken = sum(t.selectExpr(f"sum({how})").first()[0] or 0 for t in tables for c, how in room.items() if c in t.columns)
+    assert taken <= 3000 * 8
+
+
 def _write(root, name, text, at=None):
     path = os.path.join(root, name)
     os.makedirs(os.path.dirname(path), exist_ok=True)
