@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.session import partitions_for, ship
+
 
 def path_segments(points: DataFrame) -> DataFrame:
     """Segments of paths (``path``, ``ord``, ``x``, ``y``): both ends, the length up to the segment and that of the path.
@@ -17,35 +24,99 @@ def path_segments(points: DataFrame) -> DataFrame:
     return s.withColumn("before", done).withColumn("length", F.sum("size").over(Window.partitionBy("path")))
 
 
-def on_segment() -> tuple[Column, Column]:
-    """Distance of (x, y) from a segment, and how far along it the nearest point lies; a segment without length is a point."""
-    vx, vy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    square = vx * vx + vy * vy
-    t = F.when(square == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col("x") - F.col("ax")) * vx + (F.col("y") - F.col("ay")) * vy) / square)))
-    return F.hypot(F.col("x") - (F.col("ax") + vx * t), F.col("y") - (F.col("ay") + vy * t)), t * F.sqrt(square)
-
-
 def _cells(low: Column, high: Column, cell: float) -> Column:
     return F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell)))
 
 
-def paths_at(probes: DataFrame, points: DataFrame, tolerance: float, cell: float = 32) -> DataFrame:
+def _rounded(d: np.ndarray) -> np.ndarray:
+    """Billionths, halves away from zero, as SQL rounds to nine digits."""
+    v = d * 1e9
+    low = np.floor(v)
+    return low + (v - low >= 0.5)
+
+
+def _hits(tolerance: float, pairs: int) -> Callable:
+    """What one cell holds, in: segments, and probes without a second end. Out: each probe's paths in order, a few probes
+    in a batch, so that about ``pairs`` pairs are in memory at once however many are found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)).combine_chunks()
+        probes, s = rows.filter(pc.is_null(rows["bx"])), rows.filter(pc.is_valid(rows["bx"]))
+        if not probes.num_rows or not s.num_rows:
+            return
+        path, ord_ = (pc.rank(s[c], "ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64) for c in ("path", "ord"))
+        order = np.lexsort((ord_, path))
+        path, names = path[order], s["path"].combine_chunks().take(pa.array(order))
+        ax, ay, bx, by, before, length = (s[c].to_numpy()[order] for c in ("x", "y", "bx", "by", "before", "length"))
+        vx, vy = bx - ax, by - ay
+        square = vx * vx + vy * vy
+        size, square = np.sqrt(square), np.where(square == 0, 1.0, square)  # a segment without length is a point
+        low_x, high_x, low_y, high_y = np.fmin(ax, bx) - tolerance, np.fmax(ax, bx) + tolerance, np.fmin(ay, by) - tolerance, np.fmax(ay, by) + tolerance
+        asked = probes["probe"].combine_chunks()
+        one = np.unique(pc.rank(asked, "ascending", tiebreaker="dense").to_numpy(), return_index=True)[1]
+        px, py = (probes[c].to_numpy()[one] for c in ("x", "y"))
+        close = np.lexsort((py, np.floor(px / 4)))  # probes of a batch lie close together, so that few segments are compared
+        px, py, asked = px[close], py[close], asked.take(pa.array(one[close]))
+        step = max(1, pairs // len(path))
+        for k in range(0, len(px), step):
+            x, y = px[k : k + step], py[k : k + step]
+            near = np.flatnonzero((low_x <= x.max()) & (high_x >= x.min()) & (low_y <= y.max()) & (high_y >= y.min()))
+            if not len(near):
+                continue
+            x, y, nx, ny, wx, wy = x[:, None], y[:, None], ax[near], ay[near], vx[near], vy[near]
+            t = (x - nx) * wx
+            t += (y - ny) * wy
+            t /= square[near]
+            np.clip(t, 0.0, 1.0, out=t)
+            d = wx * t
+            d += nx
+            np.subtract(x, d, out=d)
+            d *= d
+            e = wy * t
+            e += ny
+            np.subtract(y, e, out=e)
+            e *= e
+            d += e
+            np.sqrt(d, out=d)
+            hit = np.flatnonzero(d <= tolerance)
+            if not len(hit):
+                continue
+            probe, at, d, t = hit // len(near), near[hit % len(near)], d.ravel()[hit], t.ravel()[hit]
+            rounded = _rounded(d)
+            # Hits of a probe and path lie together, by ord: the first of the nearest ones counts.
+            first = np.flatnonzero(np.r_[True, (np.diff(probe) != 0) | (np.diff(path[at]) != 0)])
+            group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(hit)]))
+            least = np.flatnonzero(rounded == np.minimum.reduceat(rounded, first)[group])
+            best = least[np.r_[True, np.diff(group[least]) != 0]]
+            best = best[np.lexsort((rounded[best], probe[best]))]  # stable: equal distances stay by path
+            own, at = probe[best], at[best]
+            rank = np.arange(1, len(best) + 1) - np.searchsorted(own, own)
+            source = before[at] + t[best] * size[at] <= length[at] / 2
+            yield pa.RecordBatch.from_arrays([asked.take(pa.array(own + k)), names.take(pa.array(at)), pa.array(d[best]), pa.array(source), pa.array(rank.astype(np.int32))], names=["probe", "path", "distance", "source", "rank"])
+
+    return run
+
+
+def paths_at(probes: DataFrame, points: DataFrame, tolerance: float, cell: float = 32, pairs: int = 1 << 19) -> DataFrame:
     """Paths within ``tolerance`` of each probe (``probe``, ``x``, ``y``), the nearest first: ``probe``, ``path``,
     ``distance``, ``zone`` and ``rank``. The zone is source up to half of the path's length, else target; of equally near
-    segments the first counts; equal distances rank by path. Segments meet probes in shared grid cells only.
+    segments the first counts; equal distances rank by path. Segments meet probes in shared grid cells only; a probe's name stands for one point.
 
-    A probe lies in one cell, so what is found for it is grouped and ranked where it was found: segments and probes are
-    shuffled by cell, the hits, which may be far more, never."""
+    A probe lies in one cell, so segments and probes are shuffled by cell. The hits, which may be far more than both, are
+    found, grouped and ranked for a few probes at a time (at most about ``pairs`` pairs) and handed on: they are never shuffled,
+    sorted as a whole or spilled. A task holds the segments of one cell."""
+    spark = points.sparkSession
+    ship(spark)
     s = path_segments(points)
     ends = lambda c: (F.least(f"a{c}", f"b{c}") - tolerance, F.greatest(f"a{c}", f"b{c}") + tolerance)
     s = s.withColumn("cx", _cells(*ends("x"), cell)).withColumn("cy", _cells(*ends("y"), cell))
-    p = probes.select("probe", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
-    distance, along = on_segment()
-    near = p.hint("shuffle_hash").join(s, ["cx", "cy"]).withColumn("distance", distance).withColumn("at", F.col("before") + along).where(F.col("distance") <= tolerance)
-    best = near.groupBy("cx", "cy", "probe", "path").agg(F.min(F.struct(F.round("distance", 9).alias("near"), "ord", "distance", "at", "length")).alias("b"))
-    zone = F.when(F.col("b.at") <= F.col("b.length") / 2, "source").otherwise("target")
-    rank = F.row_number().over(Window.partitionBy("cx", "cy", "probe").orderBy("b.near", "path"))
-    return best.select("probe", "path", F.col("b.distance").alias("distance"), zone.alias("zone"), rank.alias("rank"))
+    s = s.select("cx", "cy", "path", "ord", F.col("ax").alias("x"), F.col("ay").alias("y"), "bx", "by", "before", "length")
+    p = probes.select("probe", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null")
+    p = p.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    met = s.unionByName(p, allowMissingColumns=True).repartition(partitions_for(spark), "cx", "cy")  # work is not in proportion to bytes: no parts are put together
+    hits = met.groupBy("cx", "cy").applyInArrow(_hits(tolerance, pairs), f"probe {kind(probes, 'probe')}, path {kind(points, 'path')}, distance double, source boolean, rank int")
+    return hits.select("probe", "path", "distance", F.when(F.col("source"), "source").otherwise("target").alias("zone"), "rank")
 
 
 def cleared(boxes: DataFrame, left: float, right: float, vertical: float) -> DataFrame:

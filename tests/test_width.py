@@ -69,3 +69,48 @@ def test_equal_paths_have_one_number(spark, tmp_path):
     got = named(Q.E.edge_profile(edges), names, "id")
     want = Q.E.edge_profile(Q.read(spark, str(tmp_path), "edges"))
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and want.where("id is null").count() == 1
+
+
+def test_hits_are_never_sorted_as_a_whole(spark):
+    """What is found may be far more than what is read: only segments and probes are sorted, by cell, and so can spill."""
+    plan = entry._core.QUERIES["tk9_paths_at_point"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    done = plan.splitlines()
+    assert "SortAggregate" not in plan and "ShuffledHashJoin" not in plan
+    assert not any("probe" in x for x in done if "Window" in x or "- Sort [" in x)
+
+
+@pytest.mark.parametrize("pairs", [1, 40, 1 << 19])
+def test_paths_at_points_by_any_number_of_pairs(spark, pairs):
+    """Named paths, a step without length, probes asked twice and without a place, equal distances; a few pairs at a time give the same rows."""
+    import math
+    import random
+
+    from factloom.operators.geometry import paths_at
+
+    r = random.Random(3)
+    points = [(f"p{i}", k, float(r.randrange(90) - 20), float(r.randrange(90) - 20)) for i in range(40) for k in range(r.randrange(1, 6))]
+    points += [("still", 0, 5.0, 5.0), ("still", 1, 5.0, 5.0), ("equal", 0, 5.0, 5.0), ("equal", 1, 5.0, 5.0), ("gone", 0, 5.0, 5.0), ("gone", 1, None, None), (None, 0, 4.0, 5.0), (None, 1, 6.0, 5.0)]
+    probes = [(i, float(r.randrange(80) - 15), float(r.randrange(80) - 15)) for i in range(60)] + [(90, 5.0, 5.0), (90, 5.0, 5.0), (91, None, 5.0)]
+    want = {}
+    for probe, x, y in {q for q in probes if None not in q}:
+        found = []
+        for path in {p[0] for p in points}:
+            own = sorted(p[1:] for p in points if p[0] == path)
+            steps, before, near = [(a, b) for a, b in zip(own, own[1:]) if b[1] is not None], 0.0, []
+            length = sum(math.sqrt((b[1] - a[1]) ** 2 + (b[2] - a[2]) ** 2) for a, b in steps)
+            for (k, ax, ay), (_, bx, by) in steps:
+                square = (bx - ax) ** 2 + (by - ay) ** 2
+                size, t = math.sqrt(square), min(1.0, max(0.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / (square or 1)))
+                d = math.sqrt((x - (ax + (bx - ax) * t)) ** 2 + (y - (ay + (by - ay) * t)) ** 2)
+                near += [(round(d, 9), k, before + t * size)] if d <= 6 else []
+                before += size
+            if near:
+                d, _, at = min(near)
+                found.append((d, path is not None, path or "", "source" if at <= length / 2 else "target"))
+        want[probe] = [(p if named else None, d, zone) for d, named, p, zone in sorted(found)]
+    got = {}
+    kinds = "path string, ord int, x double, y double"
+    for row in paths_at(spark.createDataFrame(probes, "probe int, x double, y double"), spark.createDataFrame(points, kinds), 6, pairs=pairs).orderBy("probe", "rank").collect():
+        got.setdefault(row.probe, []).append((row.path, round(row.distance, 9), row.zone))
+        assert row["rank"] == len(got[row.probe])
+    assert got == {k: v for k, v in want.items() if v} and sum(map(len, got.values())) > 100
